@@ -29,11 +29,13 @@ TEMPLATES = {
 }
 
 
-def _shingles(text):
-    # Java's split leaves an empty first word before leading delimiters, so they are trimmed.
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-    n = F.size(words) - SHINGLE + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(words[i + j] for j in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+def _shingled(df: DataFrame, text: str) -> DataFrame:
+    """Columns words and s, each a projection of its own: inside a lambda an inlined split would run for every element."""
+    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    df = df.withColumn("words", F.split(clean, " "))
+    n = F.size("words") - SHINGLE + 1
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.col("words")[i + j] for j in range(SHINGLE))))
+    return df.withColumn("s", F.when(n > 0, each).otherwise(F.array().cast("array<bigint>")))
 
 
 def _bands(shingles, step: int):
@@ -50,10 +52,10 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
     """doc_id, n_licenses, licenses (names, sorted and joined by commas)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    frame = spark.createDataFrame(sorted(templates.items()), "name string, body string").withColumn("s", _shingles(F.col("body")))
+    frame = _shingled(spark.createDataFrame(sorted(templates.items()), "name string, body string"), "body")
     known = frame.select("name", F.array_distinct("s").alias("s"), F.array_distinct(_bands(F.col("s"), 1)).alias("bands")).where(F.size("s") > 0).collect()
     every = sorted({b for r in known for b in r["bands"]})
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shingles(F.col("text")).alias("s"))
+    out = _shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").select("doc_id", "s")
     hit = F.filter(_bands(F.col("s"), STEP), lambda h: h.isin(every)) if every else F.array().cast("array<bigint>")
     out = out.withColumn("hit", hit)
     found = []
