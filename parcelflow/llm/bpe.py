@@ -2,7 +2,7 @@
 
 The distinct pieces of a slab form a small corpus. An inverted index leads from a token pair to the
 places where it stands; a heap of ranks replays merges in rank order, and each merge updates only the
-pairs beside it. Pieces already encoded by the task come from a cache of bounded size.
+pairs beside it. Pieces already encoded by the worker come from a cache of bounded size.
 The rank file is a parameter; executors read it by its path, which an installed package provides.
 
 Null texts count as empty: no ids, digests of nothing. Any UTF-8 text round-trips.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import slabs, table
 
-CACHE = 400_000
+CACHE = 600_000
+SHIFT = 32
+EMPTY = np.zeros(0, "<u4")
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -34,62 +36,89 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def replay(pieces: list[bytes], rank: dict[bytes, int]) -> list[list[int]]:
-    """Ids of each piece, all pieces merged together in rank order."""
-    out: list = [[rank[p]] if p in rank else None for p in pieces]
-    token, left, right, word = [], [], [], []
-    heads: dict[int, int] = {}
+@lru_cache(2)
+def pairs(path: str) -> dict[int, int]:
+    """Rank of the token that two tokens make, by both their ids."""
+    rank = ranks(path)
+    out = {}
+    for p, r in rank.items():
+        for k in range(1, len(p)):
+            a, b = rank.get(p[:k]), rank.get(p[k:])
+            if a is not None and b is not None:
+                out[a << SHIFT | b] = r
+    return out
+
+
+def replay(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int]) -> list[np.ndarray]:
+    """Ids of each piece, all pieces merged together in rank order.
+
+    Pieces stand in one array, parted by places of token -1; a merge leaves -1 at its second place. A
+    negative token makes a negative key, which no pair has, so ends and stale places need no test."""
+    whole = [rank.get(p, -1) for p in pieces]
+    todo = [w for w, r in enumerate(whole) if r < 0]
+    alphabet = np.array([rank[bytes([c])] for c in range(256)] + [-1], np.int64)
+    sizes = np.array([len(pieces[w]) for w in todo], np.int64)
+    base = np.cumsum(sizes + 1) - sizes
+    flat = np.full(int((sizes + 1).sum()) + 1, 256)
+    word = np.repeat(np.arange(len(todo) + 1), np.append(sizes + 1, 1))
+    inside = np.ones(len(flat), bool)
+    inside[np.append(base - 1, len(flat) - 1)] = False
+    flat[inside] = np.frombuffer(b"".join(pieces[w] for w in todo), np.uint8)
+    start = alphabet[flat]
     index: dict[int, list[int]] = defaultdict(list)
-    made: dict[int, tuple[bytes, bytes]] = {}
-    heap: list[int] = []
-
-    def offer(i: int) -> int:
-        j = right[i]
-        if j < 0:
-            return -1
-        r = rank.get(token[i] + token[j], -1)
-        if r >= 0:
-            if not index[r]:
-                heapq.heappush(heap, r)
-            index[r].append(i)
-        return r
-
-    for w, p in enumerate(pieces):
-        if out[w] is None:
-            heads[w] = base = len(token)
-            token += [p[k : k + 1] for k in range(len(p))]
-            left += [base + k - 1 if k else -1 for k in range(len(p))]
-            right += [base + k + 1 if k + 1 < len(p) else -1 for k in range(len(p))]
-            word += [w] * len(p)
-    for i in range(len(token)):
-        offer(i)
+    keys = np.where(inside[:-1] & inside[1:], start[:-1] << SHIFT | start[1:], -1)
+    get = pair.get
+    known, which = np.unique(keys, return_inverse=True)
+    rank_of = np.array([get(k, -1) for k in known.tolist()], np.int64)[which]
+    order = np.argsort(rank_of, kind="stable")
+    order = order[np.searchsorted(rank_of[order], 0) :]
+    if len(order):
+        values, first = np.unique(rank_of[order], return_index=True)
+        for r, at in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+            index[r] = at.tolist()
+    heap = list(index)
+    heapq.heapify(heap)
+    token, left, right, word_of = start.tolist(), list(range(-1, len(start) - 1)), list(range(1, len(start) + 1)), word.tolist()
     while heap:
         r = heapq.heappop(heap)
-        places, later, held = sorted(set(index.pop(r, ()))), [], set()
+        places, later, held = index.pop(r, ()), [], set()
+        if len(places) > 1:
+            places = sorted(set(places))
         for i in places:
-            if token[i] is None or (j := right[i]) < 0 or rank.get(token[i] + token[j], -1) != r:
+            j = right[i]
+            if token[i] < 0 or get(token[i] << SHIFT | token[j]) != r:
                 continue
-            if word[i] in held:
+            if held and word_of[i] in held:
                 later.append(i)
                 continue
-            token[i], token[j] = token[i] + token[j], None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for k in (left[i], i):
-                # A pair that a merge makes and that ranks lower goes first in its word.
-                if k >= 0 and 0 <= offer(k) <= r:
-                    held.add(word[i])
+            k = right[j]
+            token[i], token[j], right[i], left[k] = r, -1, k, i
+            h = left[i]
+            # A pair that a merge makes and that ranks lower goes first in its word.
+            q = get(r << SHIFT | token[k])
+            if q is not None:
+                if q not in index:
+                    heapq.heappush(heap, q)
+                index[q].append(i)
+                if q <= r:
+                    held.add(word_of[i])
+            q = get(token[h] << SHIFT | r)
+            if q is not None:
+                if q not in index:
+                    heapq.heappush(heap, q)
+                index[q].append(h)
+                if q <= r:
+                    held.add(word_of[i])
         if later:
-            if not index[r]:
+            if r not in index:
                 heapq.heappush(heap, r)
             index[r] += later
-    for w, i in heads.items():
-        ids = []
-        while i >= 0:
-            ids.append(rank[token[i]])
-            i = right[i]
-        out[w] = ids
+    ended = np.array(token, np.int64)
+    left_over = np.flatnonzero(ended >= 0)
+    ids, ends = ended[left_over].astype("<u4"), np.searchsorted(left_over, base + sizes)
+    out = [np.array([r], "<u4") if r >= 0 else EMPTY for r in whole]
+    for w, x, y in zip(todo, np.searchsorted(left_over, base).tolist(), ends.tolist(), strict=True):
+        out[w] = ids[x:y]
     return out
 
 
@@ -97,7 +126,7 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.rank = ranks(path)
+        self.rank, self.pair = ranks(path), pairs(path)
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.cache: dict[str, bytes] = {}
 
@@ -107,22 +136,28 @@ class Codec:
         if len(self.cache) > CACHE:
             self.cache = {}
         new = list({p for ps in parts for p in ps if p not in self.cache})
-        for p, ids in zip(new, replay([p.encode() for p in new], self.rank), strict=True):
-            self.cache[p] = np.array(ids, "<u4").tobytes()
+        for p, ids in zip(new, replay([p.encode() for p in new], self.rank, self.pair), strict=True):
+            self.cache[p] = ids.tobytes()
         return [b"".join(map(self.cache.__getitem__, ps)) for ps in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(1)
+def codec(path: str, pattern: str) -> Codec:
+    """One for all tasks of a worker."""
+    return Codec(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded (bytes)."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        own = codec(path, pattern)
         for b in slabs(batches):
-            ids = codec.encode(b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = own.encode(b["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
