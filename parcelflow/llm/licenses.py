@@ -11,12 +11,17 @@ shingles and no license. Repeated rows each get a row.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SHINGLE, WIDTH, STEP, BANDS, CONTAINMENT, MAX_TEMPLATES = 5, 6, 2, 16, 0.8, 1000
+# A band orders hashes by their value under its mask (xor): of two hashes, a random mask puts each first with chance 1/2.
+_RANDOM = random.Random(1)
+MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
 # Wording of license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -40,12 +45,15 @@ def _shingled(df: DataFrame, text: str) -> DataFrame:
 
 def _bands(shingles, step: int):
     per = WIDTH - SHINGLE + 1
+    last = F.size(shingles) - 1
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
+    # Each window as a struct of its shingles, so that the bands read fields and index no array again.
+    windows = F.transform(starts, lambda i: F.struct(*(shingles[F.least(i + j, last)].alias(f"w{j}") for j in range(per))))
 
-    def values(i):
-        last = F.size(shingles) - 1
-        return F.array(*(F.array_min(F.array(*(F.xxhash64(F.lit(b), shingles[F.least(i + j, last)]) for j in range(per)))) for b in range(BANDS)))
+    def values(w):
+        return F.array(*(F.least(*(w[f"w{j}"].bitwiseXOR(F.lit(m)) for j in range(per))) for m in MASKS))
 
-    return F.when(F.size(shingles) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(step)), values))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(shingles) > 0, F.flatten(F.transform(windows, values))).otherwise(F.array().cast("array<bigint>"))
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
