@@ -97,16 +97,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, depth:
     def windows(batches):
         cache = _Hashes()
         for b in slabs(batches):
+            found = []
             for key, t, at in zip(b["row"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
                 h = _word_hashes(t, cache)
-                r, least, _ = _places(h, window, run)
-                flag = np.zeros(len(r) + 1, np.int64)
-                flag[np.array(at)] = 1
                 n = window - run + 1
+                flag = np.zeros(len(h) - run + 2, np.int64)
+                flag[np.array(at)] = 1
                 near = np.cumsum(np.concatenate([[0], flag[:-1]]))
                 p = np.flatnonzero(near[n:] - near[:-n] > 0)
-                ha, hb = _rolling(h, window, _ODD[0])[p], _rolling(h, window, _ODD[1])[p]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(p), key, np.int64), p.astype(np.int32), ha.view(np.int64), hb.view(np.int64))], ["row", "at", "ha", "hb"])
+                found.append((np.full(len(p), key, np.int64), p.astype(np.int32), *(_rolling(h, window, odd)[p].view(np.int64) for odd in _ODD)))
+            for at in range(0, len(found), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found[at : at + 500], strict=True)], ["row", "at", "ha", "hb"])
 
     seen = durable(docs.join(doubt, "row").mapInArrow(windows, "row long, at int, ha long, hb long"))
     often = seen.groupBy("ha", "hb").agg(F.count("*").alias("n")).where("n > 1").select("ha", "hb")
