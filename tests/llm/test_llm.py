@@ -205,3 +205,28 @@ def test_chats(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert sorted(r.conv_id for r in chats.maximal(frame).collect()) == [2, 4, 5]
     assert chats.maximal(frame.limit(0)).count() == 0
+
+
+def test_license_sentences(spark):
+    said = {
+        1: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        2: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        3: ("# Licensed under the GNU General Public License, version 2 or later", "GPL-2.0"),
+        4: ("you may use it under the GNU Lesser General Public License v2.1 only", "LGPL-2.1"),
+        5: ("Distributed under the GNU Affero General Public License version 3.", "AGPL-3.0"),
+        6: ("You may redistribute it under the GNU General Public License.", "GPL"),
+        7: ("The figures are shared under a CC BY 4.0 licence.", "CC-BY-4.0"),
+        8: ("Text is available under the Creative Commons Attribution-ShareAlike 3.0 License", "CC-BY-SA-3.0"),
+        9: ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        10: ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) */", "BSD-3-Clause,GPL-2.0-only"),
+        11: ("This package is distributed under the MIT license; see the file.", "MIT"),
+        12: ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided", "ISC"),
+        13: ("Use of this source is governed by the BSD 3-Clause License found beside it", "BSD-3-Clause"),
+        14: ("Subject to the Mozilla Public License, Version 2.0 as published", "MPL-2.0"),
+        15: ("The driver must carry a license while the version of the public road is four.", ""),
+    }
+    got = {r.doc_id: (r.n_licenses, r.licenses) for r in licenses.scan(spark, spark.createDataFrame([(k, t) for k, (t, _) in said.items()], "doc_id long, text string")).collect()}
+    for k, (t, want) in said.items():
+        names = got[k][1].split(",") if got[k][1] else []
+        parts = want.split(",") if want else []
+        assert got[k][0] == len(parts) and all(n.startswith(p) for n, p in zip(names, parts, strict=True)), (t, got[k])
