@@ -1,10 +1,11 @@
 """URL filters: host and path rules, then a character language-model ratio.
 
-Urls that a rule accepts or rejects train two smoothed variable-order Markov models over the characters of
-host and path (orders 0 to 2, each backing off to the lower by Witten-Bell weights). Other urls are
-judged by the difference of log-likelihood per character against a threshold between the classes' means, in
-proportion to their spreads. Characters are folded to ALPHABET and three marks, so there are at most 45^3
-different trigrams: that bound makes broadcasting the table of ratios safe. DataFrame functions only.
+Urls that a rule accepts or rejects train two smoothed variable-order Markov models over the raw characters of
+host and path (orders 0 to ORDER, each backing off to the lower by Witten-Bell weights; only the host is
+in lower case, as hosts have none). Other urls are judged by the difference of log-likelihood per character against
+a threshold between the classes' means, in proportion to their spreads. Nothing is folded, so the tables of
+grams grow with the corpus; they are grouped and joined by shuffle. A gram that makes up more than 1/HOT of all
+places has its ratio broadcast instead: there are at most HOT of those, whatever the corpus. DataFrame functions only.
 
 A null url, or one without ://, has an empty host and path and is judged by the method as the empty text.
 Without training urls of a class, the verdict is allow. Repeated rows each get a row.
@@ -20,8 +21,9 @@ from .common import durable, table
 # Verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ALPHABET = "a-z0-9./_%:-"
-SYMBOLS = 45
+ORDER, HOT = 5, 2000
+# Noncharacters of Unicode, which no text holds: before the first and after the last character.
+BEFORE, AFTER = "\ufdd0", "\ufdd1"
 
 
 def parts(url: str = "url"):
@@ -41,39 +43,49 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("by_rule", verdict)
 
 
-def _log_ratio(grams: DataFrame, train: DataFrame) -> DataFrame:
-    """g, llr for every trigram: log P(accepted) - log P(rejected)."""
-    out = grams.select("g", F.substring("g", 2, 2).alias("g2"), F.substring("g", 3, 1).alias("g1"))
-    for c in ("allow", "block"):
-        n3 = train.where(F.col("by_rule") == c).groupBy("g").agg(F.sum("n").alias("n3"))
-        n3 = durable(n3)
-        n2 = n3.groupBy(F.substring("g", 2, 2).alias("g2")).agg(F.sum("n3").alias("n2"))
-        n1 = n3.groupBy(F.substring("g", 3, 1).alias("g1")).agg(F.sum("n3").alias("n1"))
-        ctx2 = n3.groupBy(F.substring("g", 1, 2).alias("c2")).agg(F.sum("n3").alias("k2"), F.count("*").alias("t2"))
-        ctx1 = n2.groupBy(F.substring("g2", 1, 1).alias("c1")).agg(F.sum("n2").alias("k1"), F.count("*").alias("t1"))
-        total = n3.agg(F.sum("n3")).first()[0] or 0
-        out = out.withColumn("c2", F.substring("g", 1, 2)).withColumn("c1", F.substring("g2", 1, 1))
-        for t, k in ((n3, "g"), (n2, "g2"), (n1, "g1"), (ctx2, "c2"), (ctx1, "c1")):
-            out = out.join(t, k, "left")
-        z = lambda x: F.coalesce(F.col(x), F.lit(0))
-        p1 = (z("n1") + 1) / F.lit(float(total + SYMBOLS))
-        p2 = F.when(z("k1") > 0, (z("n2") + z("t1") * p1) / (z("k1") + z("t1"))).otherwise(p1)
-        p3 = F.when(z("k2") > 0, (z("n3") + z("t2") * p2) / (z("k2") + z("t2"))).otherwise(p2)
-        out = out.withColumn(c, F.log(p3)).drop("n3", "n2", "n1", "k2", "t2", "k1", "t1")
-    return out.select("g", (F.col("allow") - F.col("block")).alias("llr"))
+def _log_ratio(grams: DataFrame) -> DataFrame:
+    """g, llr for every gram of ORDER + 1 characters (g, allow, block: training counts): log P(accepted) - log P(rejected)."""
+    classes = ("allow", "block")
+    sums = [F.sum(c).alias(c) for c in classes]
+    tables = [grams.select("g", *classes)]
+    for k in range(ORDER):
+        tables.append(durable(tables[-1].groupBy(F.expr("substring(g, 2)").alias("g")).agg(*sums)))
+    tables.reverse()
+    # Characters of the corpus and one for all others.
+    symbols, *total = tables[0].agg(F.count("*"), *(F.sum(c) for c in classes)).first()
+    p = tables[0].select("g", *((F.col(c) + 1) / F.lit(float((n or 0) + symbols + 1)) for c, n in zip(classes, total, strict=True))).toDF("g", *classes)
+    for k in range(1, ORDER + 1):
+        now = tables[k].withColumn("context", F.substring("g", 1, k)).withColumn("lower", F.expr("substring(g, 2)"))
+        seen = now.groupBy("context").agg(*(F.sum(c).alias(f"k_{c}") for c in classes), *(F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in classes))
+        now = now.join(seen, "context").join(p.toDF("lower", *(f"p_{c}" for c in classes)), "lower")
+        smooth = [F.when(F.col(f"k_{c}") > 0, (F.col(c) + F.col(f"t_{c}") * F.col(f"p_{c}")) / (F.col(f"k_{c}") + F.col(f"t_{c}"))).otherwise(F.col(f"p_{c}")).alias(c) for c in classes]
+        p = durable(now.select("g", *smooth))
+    return p.select("g", (F.log("allow") - F.log("block")).alias("llr"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-likelihood difference per character)."""
     rows = ruled(pages, rules)
     rows = rows.groupBy("page_id", "host", "path", "rule", "by_rule").agg(F.count("*").alias("times"))
-    folded = F.concat(F.lit("^^"), F.regexp_replace(F.translate(F.concat("host", "path"), UPPER, LOWER), f"[^{ALPHABET}]", "?"), F.lit("$"))
-    rows = durable(rows.withColumn("t", folded))
-    grams = rows.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))).alias("g"))
-    counts = durable(grams.groupBy("by_rule", "g").agg(F.sum("times").alias("n")))
-    ratio = durable(_log_ratio(counts.select("g").distinct(), counts))
-    keys = ["page_id", "host", "path", "rule", "by_rule", "times"]
-    scored = durable(grams.join(F.broadcast(ratio), "g").groupBy(*keys).agg(F.avg("llr").alias("score")))
+    # The key of a row names it in the shuffles below; it is fixed by the checkpoint.
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
+    known = [F.when(F.col("by_rule") == c, F.col("times")).otherwise(0).alias(c) for c in ("allow", "block")]
+    chars = rows.select("row", *known, F.split(F.concat("host", "path"), "").alias("chars"))
+    # Splitting the empty text gives one empty character.
+    chars = chars.withColumn("chars", F.concat(F.array_repeat(F.lit(BEFORE), ORDER), F.filter("chars", lambda c: c != ""), F.array(F.lit(AFTER))))
+    places = F.sequence(F.lit(0), F.size("chars") - ORDER - 1)
+    grams = chars.select("row", "allow", "block", F.explode(F.transform(places, lambda i: F.concat(*(F.col("chars")[i + j] for j in range(ORDER + 1))))).alias("g"))
+    counts = durable(grams.groupBy("g").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("places")))
+    ratio = _log_ratio(counts).join(counts.select("g", "places"), "g")
+    total = counts.agg(F.sum("places")).first()[0] or 0
+    hot = F.col("places") * HOT > total
+    ratio = durable(ratio.select("g", "llr", hot.alias("hot")))
+    often, seldom = (ratio.where(x).select("g", "llr") for x in (F.col("hot"), ~F.col("hot")))
+    marked = grams.select("row", "g").join(F.broadcast(often), "g", "left")
+    met = marked.where("llr is not null").groupBy("row").agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
+    rest = marked.where("llr is null").select("row", "g").join(seldom.hint("merge"), "g").groupBy("row").agg(F.sum("llr").alias("llr"), F.count("*").alias("n"))
+    score = met.unionByName(rest).groupBy("row").agg((F.sum("llr") / F.sum("n")).alias("score"))
+    scored = durable(rows.join(score, "row"))
     of = lambda c, f: f(F.when(F.col("by_rule") == c, F.col("score")))
     ma, mr, sa, sr = scored.agg(*(of(c, f) for f in (F.avg, F.stddev_pop) for c in ("allow", "block"))).first()
     if ma is None or mr is None:

@@ -230,3 +230,35 @@ def test_license_sentences(spark):
         names = got[k][1].split(",") if got[k][1] else []
         parts = want.split(",") if want else []
         assert got[k][0] == len(parts) and all(n.startswith(p) for n, p in zip(names, parts, strict=True)), (t, got[k])
+
+
+def test_url_models(spark):
+    """Scores against models of order 5 over raw characters, written anew."""
+    paths = ["/fr/A", "/fr/a", "/fr/q~1", "/fr/é+é", "/de/B=1", "/de/b@1", "/de/日本😀", "/x/A", "/x/a", "/x/B=1", "/x/B~1", "/x/é+é", "/x/日本😀", ""]
+    rows = [(i, f"http://h{i % 3}.com{p}") for i, p in enumerate(paths * 3)] + [(0, "http://h0.com/fr/A")] * 2
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    grams = lambda t: [t[i : i + 6] for i in range(len(t) - 5)]
+    seen, symbols = {"allow": [Counter() for _ in range(6)], "block": [Counter() for _ in range(6)]}, set()
+    for _, u in rows:
+        t = "\0" * 5 + u[7:] + "\1"
+        symbols |= set(t[5:])
+        for g in grams(t):
+            for c, mark in (("allow", ".com/fr/"), ("block", ".com/de/")):
+                if mark in u:
+                    for k in range(6):
+                        seen[c][k][g[5 - k :]] += 1
+
+    def chance(c, g):
+        n = seen[c][len(g) - 1]
+        if len(g) == 1:
+            return (n[g] + 1) / (sum(n.values()) + len(symbols) + 1)
+        after = [v for h, v in n.items() if h[:-1] == g[:-1]]
+        lower = chance(c, g[1:])
+        return (n[g] + len(after) * lower) / (sum(after) + len(after)) if after else lower
+
+    assert len(got) == len(rows)
+    for r in got:
+        each = [np.log(chance("allow", g) / chance("block", g)) for g in grams("\0" * 5 + r.host + r.path + "\1")]
+        assert r.score == pytest.approx(np.mean(each), abs=1e-9), (r.host, r.path)
+    score = {r.path: r.score for r in got if r.host == "h1.com" or r.path.startswith("/x")}
+    assert score["/x/A"] != score["/x/a"] and score["/x/B=1"] != score["/x/B~1"] and score["/x/é+é"] > 0 > score["/x/日本😀"]
