@@ -3,7 +3,8 @@
 Each shard (a slab of documents) gets an array of its word suffixes, sorted; every benchmark suffix is
 binary-searched in it, and equal ranges give all places where a window occurs. Suffixes whose first
 words begin no benchmark window can equal none and are left out of the array. Only the benchmark
-travels, in blocks of at most BLOCK_BYTES, so documents are never shuffled for one block.
+travels, in blocks of about BLOCK_BYTES characters, so documents are never shuffled. With several blocks each row
+gets a key, fixed by a checkpoint, and the rows that a block hits are merged by it.
 
 Null or empty texts have no words: n_words 0, not contaminated. Null or empty benchmark texts, and
 items with a null id, have no windows. Repeated rows each give their own row. An empty benchmark hits nothing.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, table
+from .common import durable, slabs, table
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -116,34 +117,39 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("it
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: n_words and its longest verbatim matches with every item (SCHEMA)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sc, found, block, size = docs.sparkSession.sparkContext, [], [], 0
+    sc = docs.sparkSession.sparkContext
 
-    def search(items: list[tuple]) -> DataFrame:
+    def search(rows: DataFrame, items: list[tuple], every: bool) -> DataFrame:
+        """The rows with n_words and matches; all of them, or only those with a match."""
         shared = sc.broadcast(TestSuffixes(items, window))
+        names = [c for c in rows.columns if c != "text"]
 
         def run(batches):
             for b in slabs(batches):
                 got = shared.value.search(b["text"].to_pylist())
                 spans = [[{"start": s, "length": n, "item": i} for s, n, i in x[1]] for x in got]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x[0] for x in got], pa.int64()), pa.array(spans, _SPANS)], ["doc_id", "n_words", "matches"])
+                out = pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([x[0] for x in got], pa.int64()), pa.array(spans, _SPANS)], [*names, "n_words", "matches"])
+                yield out if every else out.filter(pa.array([bool(x[1]) for x in got], pa.bool_()))
 
-        return docs.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), SCHEMA.split(", ", 1)[1]]))
 
+    found, block, size, keyed = [], [], 0, None
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
         if size >= BLOCK_BYTES:
-            found.append(search(block))
+            if keyed is None:
+                keyed = durable(docs.withColumn("row", F.monotonically_increasing_id()))
+            found.append(search(keyed, block, not found))
             block, size = [], 0
-    if block or not found:
-        found.append(search(block))
-    if len(found) == 1:
-        return found[0]
-    # Rows are told apart by their text's place; equal ids with different texts would mix, so group by the id and size.
+        block.append((row[0], row[1]))
+        size += len(row[1] or "")
+    if not found:
+        return search(docs, block, True)
+    found.append(search(keyed, block, False))
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
-    return whole.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    merged = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    return merged.drop("row")
 
 
 def _digest(spans: list[dict], n: int) -> tuple[int, int, str, int]:

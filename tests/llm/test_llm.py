@@ -262,3 +262,18 @@ def test_url_models(spark):
         assert r.score == pytest.approx(np.mean(each), abs=1e-9), (r.host, r.path)
     score = {r.path: r.score for r in got if r.host == "h1.com" or r.path.startswith("/x")}
     assert score["/x/A"] != score["/x/a"] and score["/x/B=1"] != score["/x/B~1"] and score["/x/é+é"] > 0 > score["/x/日本😀"]
+
+
+def test_decontaminate_blocks(spark, docs, monkeypatch):
+    """Many blocks of benchmark give what one block gives, row by row."""
+    first, second = "alpha beta gamma delta", "uno due tre quattro"
+    more = [(d, t, "s", 1) for d in (7_000_007, None) for t in (first, second, "nothing of it here", first)] + [(8, f"{first} {second}", "s", 1)] * 2
+    rows = docs.unionByName(spark.createDataFrame(more, DOCS))
+    items = [(1, first), (2, second), (None, first), (3, None), (4, f"{second} x {first}")]
+    items += [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(20).collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda: Counter(map(tuple, decontaminate.report(decontaminate.matches(rows, bench)).collect()))
+    want = told()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    assert told() == want and sum(want.values()) == rows.count()
+    assert sum(n for w, n in want.items() if w[0] == 7_000_007 and w[-1]) == 3 and sum(n for w, n in want.items() if w[0] == 7_000_007) == 4
