@@ -277,3 +277,27 @@ def test_decontaminate_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     assert told() == want and sum(want.values()) == rows.count()
     assert sum(n for w, n in want.items() if w[0] == 7_000_007 and w[-1]) == 3 and sum(n for w, n in want.items() if w[0] == 7_000_007) == 4
+
+
+def test_secret_pairs(spark):
+    key, secret, url, short = "AKIA" + "A" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "https://x.example", "AKIASHORT"
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.find(t)]
+    named = f"aws_secret_access_key = {secret}"
+    alone = {"named": named, "bare": secret, "id": short, "endpoint": url, "weak": "token=short"}
+    assert [t for t in alone.values() if kinds(t)] == []
+    pairs = {("id", k) for k in alone if k != "id"} | {(k, "endpoint") for k in ("named", "bare")}
+    for a, ta in alone.items():
+        for b, tb in alone.items():
+            if (a, b) in pairs:
+                assert kinds(f"{ta} and {tb}") == [a, b] and kinds(f"{tb} and {ta}") == [b, a]
+                assert kinds(f"{ta} {'x ' * 300}{tb}") == []
+    for k in ("named", "bare", "weak", "endpoint"):
+        assert kinds(f"{key} {alone[k]}") == ["access", k]
+    assert kinds(f"{short} password=longenough123") == ["id", "assign"]
+    # Words and paths beside an address aren't tokens; a hook's key in its path is.
+    assert kinds("https://blog.example/2024/My-Long-Post-Title-Here internationalization-of-everything") == []
+    assert kinds("https://hooks.example/T0/x8Kq2LmZp0VbN4tYw7RdGh5s") == ["endpoint", "bare"]
+    frame = spark.createDataFrame([(1, f"{key} {named}"), (2, f"{url} {secret}"), (3, f"{secret}")], "doc_id long, text string")
+    hidden = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert secret not in hidden[1] + hidden[2] and hidden[3] == secret
+    assert {r.doc_id: r.n_linked for r in secrets.scan(frame).collect()} == {1: 1, 2: 2, 3: 0}
