@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from parcelflow.llm import bpe, decontaminate, near, quality, secrets
 from parcelflow.llm.common import durable, table
 
+ROW = "_row"
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of each row, fixed by a checkpoint; doc_id may be null or repeat."""
+    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near.link(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest doc_id, null last. Of blank texts, which
+    link with nothing, one row of each doc_id and text."""
+    rows = _keyed(docs)
+    found = near.link(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), blank.alias("blank"), F.when(blank, F.sha2("text", 256)).alias("same"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
+    by = [F.when(~F.col("blank"), F.col("component_id")), "blank", "same", F.when(F.col("blank"), F.col("doc_id"))]
+    kept = found.join(ids, ROW).groupBy(*by).agg(first).select(f"first.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Without the rows whose own text is contaminated."""
+    rows = _keyed(docs)
+    found = decontaminate.report(decontaminate.matches(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
+    gone = found.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

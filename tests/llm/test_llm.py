@@ -301,3 +301,17 @@ def test_secret_pairs(spark):
     hidden = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert secret not in hidden[1] + hidden[2] and hidden[3] == secret
     assert {r.doc_id: r.n_linked for r in secrets.scan(frame).collect()} == {1: 1, 2: 2, 3: 0}
+
+
+def test_pipeline_rows(spark, tmp_path, monkeypatch):
+    """Null and repeated ids through all stages: each row is judged by itself, and one of exact copies stays."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality, "ACCEPT", 0.0)
+    a, b, c, d, leak = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ash", "birch", "cedar", "dill", "leak"))
+    rows = [(1, a), (1, a), (5, a), (None, b), (None, b), (2, f"{c} {leak}"), (2, d), (None, f"oak {leak}"), (3, ""), (3, ""), (4, ""), (None, None), (None, None)]
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == Counter((k, hashlib.sha256(t.encode()).hexdigest()) for k, t in [(1, a), (None, b), (2, d), (3, ""), (4, ""), (None, "")])
