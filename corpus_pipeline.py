@@ -12,7 +12,10 @@ ROW = "_row"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the model accepts; all of them where labels of both kinds are lacking and none could be fitted."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if model[1].constant:
+        return docs
     return quality.score(docs, model).where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
 
 

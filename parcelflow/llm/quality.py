@@ -7,7 +7,8 @@ so the sums don't depend on the order of partitions. The network is fitted on th
 rows, and its probabilities are calibrated by a temperature fitted on every fifth of them.
 
 Null and empty texts have a zero vector and are scored from that. Rows that are held out (crc32 of the id
-mod 4 is 2) never train. Without labels of both kinds every score is the share of label 1, or 0.5.
+mod 4 is 2) never train. The network is fitted whenever both kinds are among the training rows; without
+them every score is the share of label 1, or 0.5, and the model says so (`constant`).
 """
 
 from __future__ import annotations
@@ -107,13 +108,16 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, epochs: int = 60) -> None:
         self.rate = float(y.mean()) if len(y) else 0.5
-        self.constant = len(set(y.tolist())) < 2 or len(y) < 20
+        self.constant = len(set(y.tolist())) < 2
         if self.constant:
             return
         rng = np.random.default_rng(SEED)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-6
         x = (x - self.mean) / self.std
         fold = np.arange(len(x)) % 5 == 4
+        # Few rows calibrate nothing, and both kinds have to train.
+        if not fold.any() or len(set(y[~fold].tolist())) < 2:
+            fold[:] = False
         tx, ty = x[~fold], y[~fold]
         p = self.p = [rng.standard_normal((x.shape[1], HIDDEN)) / x.shape[1] ** 0.5, np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / HIDDEN**0.5, np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -130,6 +134,9 @@ class Network:
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     p[i] -= 0.003 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        self.temperature = 1.0
+        if not fold.any():
+            return
         z = self._logit(x[fold])
         loss = lambda k: np.logaddexp(0, np.where(y[fold] > 0, -z, z) / k).mean()
         self.temperature = float(min(np.geomspace(0.25, 8, 100), key=loss))

@@ -315,3 +315,21 @@ def test_pipeline_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == Counter((k, hashlib.sha256(t.encode()).hexdigest()) for k, t in [(1, a), (None, b), (2, d), (3, ""), (4, ""), (None, "")])
+
+
+def test_quality_few_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, f"{'Clean sentences explain the matter well' if k % 2 else 'BUY!!! $$$ NOW 999 CLICK'} {k}", "s", 1) for k in range(1, 31)]
+    frame = spark.createDataFrame(rows, DOCS)
+    for ids in (range(1, 5), range(1, 15)):
+        labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+        model = quality.fit(frame, labels)
+        score = {r.doc_id: r.score for r in quality.score(frame, model).collect()}
+        assert not model[1].constant and min(v for k, v in score.items() if k % 2) > max(v for k, v in score.items() if k % 2 == 0)
+    for y in ([1, 0], [0] * 9 + [1], [1] * 4 + [0]):
+        x = np.array(y, float)[:, None] + np.arange(3) / 9
+        made = quality.Network(x, np.array(y, float)).score(x)
+        assert np.isfinite(made).all() and made[np.array(y) == 1].min() > made[np.array(y) == 0].max()
+    spark.createDataFrame([(2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_quality(spark, frame, str(tmp_path)).count() == 30
