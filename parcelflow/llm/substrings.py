@@ -3,9 +3,9 @@
 A window of 35 words can only repeat if every shorter run of words in it repeats. Each window is
 represented by the least of the hashes of its 16-word runs (all places with that hash in it), so the sketch
 holds about a tenth of the positions; its cells overestimate how often a window stands anywhere,
-and a window whose cells count one is unique for certain. Partitions emit their sketches as (cell, count), merged by addition
-in a distributed aggregate, so the sketch may grow with the corpus. The second pass groups by a 128-bit
-window hash only windows that the sketch leaves in doubt.
+and a window whose cells count one is unique for certain. The sketch is not held as an array of counts: each
+chosen position gives a row with its DEPTH cells of CELL_BITS bits, and a distributed aggregate counts the rows of each cell, so it
+grows with the corpus. The second pass groups by a 128-bit window hash only windows that the sketch leaves in doubt.
 
 Null texts have no words; texts with fewer than 35 words lose none. Documents are told apart by a row key that
 their doc_id and text give, so repeated rows with one id and one text count as one text standing several times.
