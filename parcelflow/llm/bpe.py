@@ -1,6 +1,7 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over slabs.
 
-The distinct pieces of a slab form a small corpus. An inverted index leads from a token pair to the
+The replay works on the distinct pieces of a slab (about 4 MB of text), not of the whole corpus, so a piece that
+several workers meet is merged in each. In a slab, an inverted index leads from a token pair to the
 places where it stands; a heap of ranks replays merges in rank order, and each merge updates only the
 pairs beside it. Pieces already encoded by the worker come from a cache of bounded size.
 The rank file is a parameter; executors read it by its path, which an installed package provides.
