@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,19 +14,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 4_000_000
+# Bytes of an Arrow batch on its way to Python; Spark's own limit is eight times as much.
+BATCH_BYTES = 8 << 20
+# A key that has more than 1 / HOT of all rows is hot, so there are fewer than HOT of them.
+HOT = 1000
+# A sieve has 2^SIEVE_BITS bits in buckets of 2^15, so it takes 4 MB at most.
+SIEVE_BITS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Unset, a temporary one is set where driver and executors are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="ckpt")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def _path(spark: SparkSession, name: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder, so a lost executor loses nothing."""
+    """Cut lineage by a table in the shared folder, so a lost executor loses nothing. The table goes when
+    it is released or else when the driver ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    name = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(name)
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out.written_ = name
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for t in tables:
+        if name := getattr(t, "written_", None):
+            path, fs = _path(t.sparkSession, name)
+            fs.delete(path, True)
+
+
+def mapped(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES; a task gives the memory that it freed back to the system."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", df.sparkSession.conf.get(key))[0]) != BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def slabs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -40,23 +94,72 @@ def slabs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
             at = end
 
 
-def components(edges: DataFrame) -> DataFrame:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal keys, from batches that are sorted by them."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        new = np.zeros(len(t) - 1, bool)
+        for k in keys:
+            new |= np.diff(t[k].to_numpy()) != 0
+        cut = int(new.nonzero()[0][-1]) + 1 if new.any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """Rows joined with values, which has one row a key and in column n how many of the total rows have it.
+
+    Values of hot keys, fewer than HOT, are broadcast, so their rows aren't gathered into one task."""
+    hot = F.col("n") * HOT > F.lit(total)
+    keys = [key] if isinstance(key, str) else key
+    often, seldom = values.where(hot).drop("n"), values.where(~hot).drop("n")
+    near = rows.join(F.broadcast(often), keys)
+    far = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
+    return near.unionByName(far)
+
+
+def sieve(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the keys, and rows that surely have none; none is moved.
+
+    A bitmap of key hashes, of a fixed size, is broadcast. Only the rows of the first part need a join."""
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << SIEVE_BITS))
+    bits = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits_"))
+    marked = rows.withColumn("p_", place).withColumn("bucket_", F.bitmap_bucket_number("p_")).join(F.broadcast(bits), "bucket_", "left")
+    at = F.bitmap_bit_position(F.col("p_"))
+    byte = F.conv(F.hex(F.substring("bits_", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("bits_ is not null") & (F.shiftrightunsigned(byte, 0).bitwiseAND(F.pow(F.lit(2), (at % 8)).cast("int")) != 0), F.lit(False))
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(v, root): the smallest id reachable over edges (a, b); vertices without an edge are absent.
 
-    Alternating large-star and small-star rounds. Minima are aggregates joined back, so a vertex of
-    high degree is never gathered into one task. Every round is checkpointed; the loop ends when a
-    round changes nothing."""
+    Alternating large-star and small-star rounds, until all edges lead from a vertex to its root; or so many rounds, after
+    which a root is only some smaller vertex that is reachable. Minima are aggregates joined back, and those of
+    hubs are broadcast, so a vertex of high degree is never gathered into one task. Every round is written."""
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    n = e.count()
+    while rounds is None or rounds > 0:
+        roots = e.select("v").distinct()
+        if e.select("u").distinct().count() == n and e.select(F.col("u").alias("v")).join(roots, "v", "left_semi").isEmpty():
+            break
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        large = durable(attach(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attach(large, low, "u", 2 * n).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = durable(small.select("e.*").where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        before = now
+        last, e = e, durable(small.select("e.*").where("u <> v").distinct())
+        release(last, large)
+        n = e.count()
+        rounds = rounds and rounds - 1
+    out = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
+    out.written_ = e.written_
+    return out

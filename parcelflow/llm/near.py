@@ -1,19 +1,22 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class; one row of each goes on. Bands of the signature retrieve
-candidates; a pair's signatures are compared in batches, and it is dropped once the posterior chance
-that its similarity reaches the threshold is below MISS; survivors are verified on full sets.
+Documents with the same words in the same order (by a 128-bit digest) form a class; one row of each goes on. Bands of the
+signature retrieve candidates; a pair's signatures are compared in batches, and it is dropped once the posterior
+chance that its similarity reaches the threshold is below MISS; survivors are verified on full sets.
 
-Candidates come in two rounds. First each member of a bucket against the bucket's smallest id, which
-joins most of a large group. Then, in buckets that still hold several components, members of different
-components with each other. So a group of thousands of copies costs links in proportion to its size.
+Candidates come in rounds. In each of LED rounds the members of a bucket that still holds several components
+meet one leader of it, which joins most of a large group. Then, in buckets that are still mixed, members of different
+components meet each other, in blocks. So a group of thousands of copies costs links in proportion to its size.
 
-Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id are one document
-of that id, and each gets its row. An empty table gives no rows.
+Null, empty and blank texts have an empty set and link with nothing. A row without a doc_id links with nothing either: its
+component is null, and it is kept. Rows that repeat a doc_id are one document of that id, linked by each of its
+texts, and each gets its row. Only doc_id and text are read, whatever other columns are named. A text must fit in a
+task; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, slabs, table
+from .common import attach, components, durable, mapped, release, runs, sieve, slabs, table
 
-BANDS, ROWS, BATCH, MISS, SEED = 32, 4, 16, 1e-6, 11
+BANDS, ROWS, BATCH, MISS, SEED, LED, BLOCK = 32, 4, 16, 1e-6, 11, 2, 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def words(text: str | None) -> list[bytes]:
+    return text.encode().translate(_FOLD).split() if text else []
+
+
 def shingles(text: str | None, n: int) -> set[bytes]:
-    ws = text.encode().translate(_FOLD).split() if text else []
+    ws = words(text)
     if not ws:
         return set()
     if len(ws) < n:
@@ -37,18 +44,19 @@ def shingles(text: str | None, n: int) -> set[bytes]:
 
 
 class _Hashes(dict):
+    """64-bit hashes of words, of which it remembers so many."""
+
     def __missing__(self, w: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h
 
 
-def _hashes(text: str | None, n: int, cache: _Hashes) -> np.ndarray:
-    """Distinct 64-bit shingle hashes of a text, sorted; from hashes of its words."""
-    ws = text.encode().translate(_FOLD).split() if text else []
+def _hashes(ws: list[bytes], n: int, cache: _Hashes) -> np.ndarray:
+    """Distinct 64-bit shingle hashes, sorted; from hashes of the words."""
     if not ws:
         return np.zeros(0, np.uint64)
-    if len(cache) > 500_000:
-        cache.clear()
     h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
     size, k = max(1, len(h) - n + 1), min(n, len(h))
     out = np.full(size, k, np.uint64)
@@ -59,11 +67,12 @@ def _hashes(text: str | None, n: int, cache: _Hashes) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The lower halves of the 32-bit minima; two different ones agree with chance 2^-16."""
     x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     out = np.full(len(seeds), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 4096):
         out = np.minimum(out, ((x[at : at + 4096, None] ^ seeds[None, :, 0]) * seeds[None, :, 1]).min(0))
-    return out
+    return out.astype(np.uint16)
 
 
 def bounds(total: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -92,77 +101,175 @@ def _plausible(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return out
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents whose word n-gram sets have a Jaccard similarity of percent or more."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rng = np.random.default_rng(SEED)
-    seeds = rng.integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint32) | np.uint32(1)
-    least = bounds(BANDS * ROWS, BATCH, percent / 100, MISS)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, mark (of the text), n_shingles, whole (digest of the words), sig: one row per document."""
+    seeds = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint32) | np.uint32(1)
 
     def sign(batches):
         cache = _Hashes()
         for b in slabs(batches):
-            ids, sizes, whole, sigs = b["doc_id"].to_pylist(), [], [], []
+            sizes, whole, sigs = [], [], []
             for t in b["text"].to_pylist():
-                h = _hashes(t, n, cache)
+                ws = words(t)
+                h = _hashes(ws, n, cache)
                 sizes.append(len(h))
-                whole.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
-                sigs.append(signature(h, seeds).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "whole", "sig"])
-
-    signed = durable(docs.mapInArrow(sign, "doc_id long, n_shingles long, whole binary, sig binary"))
-    classes = signed.where("whole is not null and doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = durable(classes.select("rep", "sig", "whole"))
-    same = signed.join(classes.select("rep", "whole"), "whole").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    width = 4 * ROWS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))).alias("band")
-    buckets = classes.select("rep", band)
-    heads = buckets.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head <> other").select("band", "head")
-    members = durable(buckets.join(heads, "band"))
-
-    def plausible(batches):
+                whole.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
+                sigs.append(signature(h, seeds).tobytes() if ws else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["mark"], pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "mark", "n_shingles", "whole", "sig"])
+
+    return mapped(docs, sign, "doc_id long, mark long, n_shingles long, whole binary, sig binary")
+
+
+def _by_signature(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
+    """The pairs (a, b) whose signatures leave them plausible."""
+
+    def keep(batches):
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b[k].to_pylist()), np.uint32).reshape(len(b), -1) for k in ("sa", "sb"))
-            at = pa.array(np.flatnonzero(_plausible(a, c, least)))
-            yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], ["a", "b"])
+            if len(b):
+                at = pa.array(np.flatnonzero(_plausible(_matrix(b["sa"]), _matrix(b["sb"]), least)))
+                yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], ["a", "b"])
+
+    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    heads = many.join(classes.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+    both = attach(pairs, heads, "b", pairs.count()).join(classes.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
+    return mapped(both, keep, "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. Only the texts of pairs are moved: each to the blocks of at
+    most about BLOCK pairs that share b, whose own text comes first in a block and is cut once."""
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    placed = attach(pairs, many, "b", pairs.count()).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).select("a", "b", "block")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = durable(classes.select("cid", "doc_id", "mark").join(ids, "cid"))
+    maybe, _ = sieve(docs, wanted, ["doc_id", "mark"])
+    # Rows that repeat a document give one text.
+    texts = durable(maybe.join(wanted, ["doc_id", "mark"]).groupBy("cid").agg(F.first("text").alias("text")))
+    members = placed.join(texts.withColumnRenamed("cid", "a"), "a").select("b", "block", "a", "text")
+    heads = placed.select("b", "block").distinct().join(texts.withColumnRenamed("cid", "b"), "b").select("b", "block", F.lit(None).cast("long").alias("a"), "text")
 
     def exact(batches):
-        for b in batches:
-            held: tuple = (None, set())
-            keep = []
-            for k, (head, ta, tb) in enumerate(zip(b["b"].to_pylist(), b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True)):
-                if held[0] != head:
-                    held = (head, shingles(tb, n))
-                s = shingles(ta, n)
-                both = len(s & held[1])
-                if 100 * both >= percent * (len(s) + len(held[1]) - both):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], ["a", "b"])
-
-    texts = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sig = classes.select("rep", "sig")
-        p = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-        p = durable(p.mapInArrow(plausible, "a long, b long"))
-        p = p.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return durable(p.mapInArrow(exact, "a long, b long"))
-
-    stars = verified(members.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
-    roots = durable(components(stars))
-    placed = members.join(roots, members.rep == roots.v, "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    mixed = durable(placed.join(mixed, "band", "left_semi"))
-    # Pairs with the head were tried in the first round.
-    head = mixed.groupBy("band").agg(F.min("rep").alias("head"))
-    left = mixed.join(head, "band").where("rep <> head").drop("head")
-    x, y = left.toDF("band", "a", "ra"), left.toDF("band", "b", "rb")
-    rest = verified(x.join(y, "band").where("a > b and ra <> rb").select("a", "b").distinct())
-    edges = stars.union(rest).union(same)
-    out = signed.join(components(edges), signed.doc_id == F.col("v"), "left")
+        of, held = None, set()
+        for x in batches:
+            a, b = [], []
+            for bid, block, aid, t in zip(*(x[c].to_pylist() for c in ("b", "block", "a", "text")), strict=True):
+                s = shingles(t, n)
+                if aid is None:
+                    of, held = (bid, block), s
+                    continue
+                assert of == (bid, block)
+                both = len(s & held)
+                if 100 * both >= percent * (len(s) + len(held) - both):
+                    a.append(aid)
+                    b.append(bid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = members.unionByName(heads).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+    out = durable(mapped(rows, exact, "a long, b long"))
+    release(wanted, texts)
+    return out
+
+
+def _within(buckets: DataFrame, least: list[int]) -> DataFrame:
+    """Plausible pairs (a, b) of different components within buckets (band, cid, root, sig, and n, the bucket's rows).
+
+    A bucket is cut into blocks of about BLOCK rows, compared two by two; a pair counts in its first common band only."""
+    x = buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root", "sig", "at")
+    x = x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def pairs(batches):
+        for b in runs(batches, ["band", "i", "j"]):
+            band, i, j, own, cid, root, at = (b[c].to_numpy() for c in ("band", "i", "j", "own", "cid", "root", "at"))
+            sig = _matrix(b["sig"].combine_chunks() if isinstance(b["sig"], pa.ChunkedArray) else b["sig"])
+            bands = np.ascontiguousarray(sig).view(np.uint64)
+            new = np.concatenate([[True], (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+            run = np.cumsum(new)
+            k, step = np.arange(len(run) - 1), 1
+            while len(k):
+                k = k[k + step < len(run)]
+                k = k[run[k + step] == run[k]]
+                p = k[(root[k] != root[k + step]) & ((i[k] == j[k]) | (own[k] != own[k + step]))]
+                for cut in range(0, len(p), 50_000):
+                    p_, q = p[cut : cut + 50_000], p[cut : cut + 50_000] + step
+                    # argmax: the first band in which both agree.
+                    first = (bands[p_] == bands[q]).argmax(1) == at[p_]
+                    p_, q = p_[first], q[first]
+                    good = _plausible(sig[p_], sig[q], least)
+                    if good.any():
+                        a, c = cid[p_[good]], cid[q[good]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
+                step += 1
+
+    return mapped(x, pairs, "a long, b long")
+
+
+def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents whose word n-gram sets have a Jaccard similarity of percent or more."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.xxhash64("text"))
+    least = bounds(BANDS * ROWS, BATCH, percent / 100, MISS)
+    signed = durable(_signed(docs, n))
+    found = signed.where("whole is not null and doc_id is not null")
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    classes = found.groupBy("whole").agg(one, F.first("sig").alias("sig"), F.count("*").alias("n"))
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "one.*", "sig", "n"))
+    total = found.count()
+    copies = attach(found.select("whole", F.col("doc_id").alias("a")), classes.where("n > 1").select("whole", F.col("doc_id").alias("b"), "n"), "whole", total).select("a", "b")
+
+    width = 2 * ROWS
+    band = lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(band(k).alias("band"), k.alias("at")))
+    buckets = classes.select("cid", F.explode(bands).alias("x")).select("x.*", "cid")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = durable(attach(buckets, shared, "band", classes.count() * BANDS).withColumn("root", F.col("cid")).withColumn("led", F.lit(False)))
+    edges, old = [], []
+    size = members.count()
+    for k in range(LED + 1):
+        # Members that led their bucket have met all others of it.
+        left = members.where("not led")
+        mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max(F.struct("root", "cid")).alias("high"), F.min("cid").alias("least"), F.count("*").alias("n")).where("low <> high.root")
+        mixed = durable(mixed.select("band", (F.col("least") if k == 0 else F.col("high.cid")).alias("lead"), (F.col("least") if k == 0 else F.col("high.root")).alias("lead_root"), "n"))
+        if mixed.isEmpty():
+            release(mixed)
+            break
+        met = attach(members, mixed, "band", size) if k < LED else attach(left, mixed.select("band", "n", F.col("n").alias("rows")), "band", size)
+        if k < LED:
+            met = durable(met)
+            pairs = met.where("not led and cid <> lead and root <> lead_root").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
+            pairs = durable(pairs.distinct())
+            plausible = durable(_by_signature(pairs, classes, least))
+            release(pairs)
+        else:
+            plausible = durable(_within(met.withColumnRenamed("rows", "n").join(classes.select("cid", "sig"), "cid"), least))
+        edges.append(_verified(plausible, classes, docs, n, percent))
+        release(plausible, mixed)
+        if k < LED:
+            every = edges[0]
+            for e in edges[1:]:
+                every = every.union(e)
+            # Roots that aren't the last ones yet only let some pairs meet again.
+            roots = components(every, 1)
+            old.append(members)
+            members = met.withColumn("led", F.col("led") | (F.col("cid") == F.col("lead"))).drop("root", "lead", "lead_root")
+            members = members.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            members = durable(members)
+            release(roots, met, old.pop())
+    release(members)
+    every = copies.where("a <> b")
+    ids = classes.select("cid", "doc_id")
+    for e in edges:
+        e = e.join(ids.toDF("a", "da"), "a").join(ids.toDF("b", "db"), "b")
+        every = every.union(e.select("da", "db"))
+    roots = components(every)
+    release(classes, *edges)
+    out = signed.select("doc_id", "n_shingles").join(roots, signed.doc_id == F.col("v"), "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op10_near(spark, sf_dir: str) -> DataFrame:
