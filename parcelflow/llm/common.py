@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 4_000_000
+# Texts whose words are hashed at once.
+HASH_BYTES = 1 << 20
 # Bytes of an Arrow batch on its way to Python; Spark's own limit is eight times as much.
 BATCH_BYTES = 8 << 20
 # A key that has more than 1 / HOT of all rows is hot, so there are fewer than HOT of them.
@@ -80,16 +82,16 @@ def mapped(df: DataFrame, f: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slabs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about SLAB_BYTES of text (or one longer row)."""
+def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about size bytes of text (or one longer row)."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
-            base = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, base + SLAB_BYTES, "right")))
+            base = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, end - at)
             at = end
 
@@ -163,3 +165,48 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     out = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
     out.written_ = e.written_
     return out
+
+
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BYTES = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2^64."""
+    held = _POWERS.get(which)
+    if held is None or len(held[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        ups = [np.full(size, x, np.uint64) for x in (_ODD[which], pow(_ODD[which], -1, 1 << 64))]
+        for u in ups:
+            u[0] = 1
+        held = tuple(np.cumprod(u, dtype=np.uint64) for u in ups)
+        # Those for one long text aren't kept.
+        if size <= 4 * HASH_BYTES:
+            _POWERS[which] = held
+    return held
+
+
+def word_hashes(texts: pa.Array, space: np.ndarray, fold: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and where each text's words begin (one more than texts).
+
+    Words are the longest runs of bytes for which space (by byte) is false; fold gives the byte that stands for a byte. The hash is
+    a polynomial of the bytes, taken from running sums over the whole array; which chooses one of two."""
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    x = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = (at - at[0]).astype(np.int64)
+    inside = ~space[x]
+    row = np.zeros(len(x) + 1, bool)
+    row[at] = True
+    before = np.concatenate([[False], inside[:-1]]) & ~row[:-1]
+    after = np.concatenate([inside[1:], [False]]) & ~row[1:]
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    up, down = _powers(len(x) + 1, which)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[which][fold[x]] * up[: len(x)], dtype=np.uint64)])
+    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29)), np.searchsorted(start, at)

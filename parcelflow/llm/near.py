@@ -4,9 +4,9 @@ Documents with the same words in the same order (by a 128-bit digest) form a cla
 signature retrieve candidates; a pair's signatures are compared in batches, and it is dropped once the posterior
 chance that its similarity reaches the threshold is below MISS; survivors are verified on full sets.
 
-Candidates come in rounds. In each of LED rounds the members of a bucket that still holds several components
-meet one leader of it, which joins most of a large group. Then, in buckets that are still mixed, members of different
-components meet each other, in blocks. So a group of thousands of copies costs links in proportion to its size.
+Candidates come in rounds. The members of a bucket meet one leader of it, which joins most of a large group; in buckets that
+then still hold parts not known to be connected, another leader, until few pairs are left (LED rounds at most). Then members of
+different parts meet each other, in blocks. So a group of thousands of copies costs links in proportion to its size.
 
 Null, empty and blank texts have an empty set and link with nothing. A row without a doc_id links with nothing either: its
 component is null, and it is kept. Rows that repeat a doc_id are one document of that id, linked by each of its
@@ -20,14 +20,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, durable, mapped, release, runs, sieve, slabs, table
+from .common import HASH_BYTES, attach, components, durable, mapped, release, runs, sieve, slabs, table, word_hashes
 
-BANDS, ROWS, BATCH, MISS, SEED, LED, BLOCK = 32, 4, 16, 1e-6, 11, 2, 4096
+BANDS, ROWS, BATCH, MISS, SEED, LED, BLOCK = 32, 4, 16, 1e-6, 11, 4, 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+FOLD, SPACE = np.frombuffer(_FOLD, np.uint8), np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+# Sum of pairs in mixed buckets, for each class, up to which all of them are compared at once.
+EASY = 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -43,27 +45,19 @@ def shingles(text: str | None, n: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(ws[k:] for k in range(n)), strict=False)))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, of which it remembers so many."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[w] = h = xxhash.xxh64_intdigest(w)
-        return h
-
-
-def _hashes(ws: list[bytes], n: int, cache: _Hashes) -> np.ndarray:
-    """Distinct 64-bit shingle hashes, sorted; from hashes of the words."""
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-    size, k = max(1, len(h) - n + 1), min(n, len(h))
-    out = np.full(size, k, np.uint64)
-    for j in range(k):
-        out = (out ^ h[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+def _shingle_hashes(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Distinct 64-bit shingle hashes of each text, sorted."""
+    h, at = word_hashes(texts, SPACE, FOLD)
+    out = []
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        size, k = max(1, y - x - n + 1), min(n, y - x)
+        code = np.full(size if k else 0, k, np.uint64)
+        for j in range(k):
+            code = (code ^ h[x + j : x + j + size]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        code.sort()
+        out.append(code[np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]])
+    return out
 
 
 def signature(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -110,12 +104,10 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     seeds = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint32) | np.uint32(1)
 
     def sign(batches):
-        cache = _Hashes()
-        for b in slabs(batches):
+        for b in slabs(batches, size=HASH_BYTES):
             sizes, whole, sigs = [], [], []
-            for t in b["text"].to_pylist():
+            for t, h in zip(b["text"].to_pylist(), _shingle_hashes(b["text"], n), strict=True):
                 ws = words(t)
-                h = _hashes(ws, n, cache)
                 sizes.append(len(h))
                 whole.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
                 sigs.append(signature(h, seeds).tobytes() if ws else None)
@@ -125,26 +117,24 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _by_signature(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
-    """The pairs (a, b) whose signatures leave them plausible."""
+    """The pairs (a, b) whose signatures leave them plausible; block: a part of at most about BLOCK of the pairs that share b."""
 
     def keep(batches):
         for b in batches:
             if len(b):
                 at = pa.array(np.flatnonzero(_plausible(_matrix(b["sa"]), _matrix(b["sb"]), least)))
-                yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([b[c].take(at) for c in ("a", "b", "block")], ["a", "b", "block"])
 
-    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     heads = many.join(classes.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
     both = attach(pairs, heads, "b", pairs.count()).join(classes.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-    return mapped(both, keep, "a long, b long")
+    return mapped(both.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))), keep, "a long, b long, block long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. Only the texts of pairs are moved: each to the blocks of at
-    most about BLOCK pairs that share b, whose own text comes first in a block and is cut once."""
-    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    placed = attach(pairs, many, "b", pairs.count()).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).select("a", "b", "block")
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+def _verified(placed: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b, block) whose full shingle sets reach the threshold. Only the texts of pairs are moved: each to the blocks
+    of its pairs; there the text of b comes first and is cut once."""
+    ids = placed.select(F.col("a").alias("cid")).union(placed.select("b")).distinct()
     wanted = durable(classes.select("cid", "doc_id", "mark").join(ids, "cid"))
     maybe, _ = sieve(docs, wanted, ["doc_id", "mark"])
     # Rows that repeat a document give one text.
@@ -180,7 +170,7 @@ def _within(buckets: DataFrame, least: list[int]) -> DataFrame:
     A bucket is cut into blocks of about BLOCK rows, compared two by two; a pair counts in its first common band only."""
     x = buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root", "sig", "at")
+    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root", "sig", "at", "blocks")
     x = x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def pairs(batches):
@@ -203,10 +193,11 @@ def _within(buckets: DataFrame, least: list[int]) -> DataFrame:
                     good = _plausible(sig[p_], sig[q], least)
                     if good.any():
                         a, c = cid[p_[good]], cid[q[good]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
+                        a, c = np.maximum(a, c), np.minimum(a, c)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(a % b["blocks"].to_numpy()[p_[good]])], ["a", "b", "block"])
                 step += 1
 
-    return mapped(x, pairs, "a long, b long")
+    return mapped(x, pairs, "a long, b long, block long")
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -225,40 +216,36 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     band = lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width)))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(band(k).alias("band"), k.alias("at")))
     buckets = classes.select("cid", F.explode(bands).alias("x")).select("x.*", "cid")
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(attach(buckets, shared, "band", classes.count() * BANDS).withColumn("root", F.col("cid")).withColumn("led", F.lit(False)))
-    edges, old = [], []
-    size = members.count()
-    for k in range(LED + 1):
-        # Members that led their bucket have met all others of it.
-        left = members.where("not led")
-        mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max(F.struct("root", "cid")).alias("high"), F.min("cid").alias("least"), F.count("*").alias("n")).where("low <> high.root")
-        mixed = durable(mixed.select("band", (F.col("least") if k == 0 else F.col("high.cid")).alias("lead"), (F.col("least") if k == 0 else F.col("high.root")).alias("lead_root"), "n"))
-        if mixed.isEmpty():
-            release(mixed)
+    many = classes.count()
+    leads = buckets.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    members = durable(attach(buckets, leads, "band", many * BANDS))
+    size, edges = members.count(), []
+    for k in range(LED):
+        if not size:
+            break
+        pairs = durable(members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct())
+        plausible = durable(_by_signature(pairs, classes, least))
+        edges.append(_verified(plausible, classes, docs, n, percent))
+        release(pairs, plausible)
+        # Leaders have met all others of their buckets. What isn't known yet to be connected may only meet again.
+        left = members.where("cid <> lead")
+        near = edges[0]
+        for e in edges[1:]:
+            near = near.union(e)
+        root = near.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "cid")
+        left = left.join(root, "cid", "left").withColumn("root", F.least("cid", "root"))
+        mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max(F.struct("root", "cid")).alias("high"), F.count("*").alias("n")).where("low <> high.root")
+        mixed = durable(mixed.select("band", F.col("high.cid").alias("lead"), "n", F.col("n").alias("rows")))
+        met = durable(attach(left.drop("lead"), mixed, "band", size))
+        release(members, mixed)
+        members = met
+        size, work = met.agg(F.count("*"), F.sum((F.col("rows") - 1) / 2)).first()
+        if work is None or work <= EASY * many:
             break
-        met = attach(members, mixed, "band", size) if k < LED else attach(left, mixed.select("band", "n", F.col("n").alias("rows")), "band", size)
-        if k < LED:
-            met = durable(met)
-            pairs = met.where("not led and cid <> lead and root <> lead_root").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
-            pairs = durable(pairs.distinct())
-            plausible = durable(_by_signature(pairs, classes, least))
-            release(pairs)
-        else:
-            plausible = durable(_within(met.withColumnRenamed("rows", "n").join(classes.select("cid", "sig"), "cid"), least))
+    if size:
+        plausible = durable(_within(members.withColumnRenamed("rows", "n").join(classes.select("cid", "sig"), "cid"), least))
         edges.append(_verified(plausible, classes, docs, n, percent))
-        release(plausible, mixed)
-        if k < LED:
-            every = edges[0]
-            for e in edges[1:]:
-                every = every.union(e)
-            # Roots that aren't the last ones yet only let some pairs meet again.
-            roots = components(every, 1)
-            old.append(members)
-            members = met.withColumn("led", F.col("led") | (F.col("cid") == F.col("lead"))).drop("root", "lead", "lead_root")
-            members = members.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            members = durable(members)
-            release(roots, met, old.pop())
+        release(plausible)
     release(members)
     every = copies.where("a <> b")
     ids = classes.select("cid", "doc_id")

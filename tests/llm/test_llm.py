@@ -333,3 +333,43 @@ def test_quality_few_labels(spark, tmp_path):
         assert np.isfinite(made).all() and made[np.array(y) == 1].min() > made[np.array(y) == 0].max()
     spark.createDataFrame([(2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.keep_quality(spark, frame, str(tmp_path)).count() == 30
+
+
+def test_near_repeated_ids(spark):
+    """Versions of one id, null ids and equal sets in another order, against brute force, over several partitionings."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 60)] for _ in range(6)]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (6, " ".join([*base[0], "end"])), (7, " ".join([*base[1], "end"])), (None, " ".join(base[0])), (None, None), (8, ""), (8, None)]
+    # A chain: neighbours are alike, its ends aren't. Many near copies of one text. Repeated rows.
+    chain = base[2]
+    for k in range(8):
+        rows.append((20 + k, " ".join(chain)))
+        chain = [*chain[4:], *(f"c{k}_{i}" for i in range(4))]
+    rows += [(100 + k, " ".join([*base[3], f"t{k}"])) for k in range(40)] + [(100, " ".join([*base[3], "t0"]))] * 3
+    rows += [(300 + k, " ".join(base[4][:30])) for k in range(5)] + [(400, "a b"), (401, "a b"), (402, "A B"), (403, "b a")]
+    sets = defaultdict(list)
+    for d, t in rows:
+        ws = (t or "").lower().split()
+        sets[d].append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    ids = sorted(d for d in sets if d is not None)
+    alike = lambda s, t: s and t and 100 * len(s & t) >= 80 * len(s | t)
+    root = roots(ids, [(a, b) for a in ids for b in ids if a < b and any(alike(s, t) for s in sets[a] for t in sets[b])])
+    want = Counter((d, None if d is None else root[d], d is None or root[d] == d) for d, _ in rows)
+    assert root[20] == root[27] == 20 and root[7] == 5
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter((r.doc_id, r.component_id, r.kept) for r in near.link(frame).collect()) == want
+
+
+def test_substrings_small_sketch(spark, docs):
+    """A sketch of 64 cells, so nearly all collide, loses nothing and adds nothing; rows repeat."""
+    few = docs.limit(60)
+    few = few.union(few.limit(3))
+    rows = lambda **k: Counter(map(tuple, substrings.remove_repeats(few, **k).collect()))
+    split = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in few.collect()]
+    places = Counter(tuple(ws[i : i + 35]) for _, ws in split for i in range(len(ws) - 34))
+    want = Counter()
+    for d, ws in split:
+        gone = {k for i in range(len(ws) - 34) if places[tuple(ws[i : i + 35])] > 1 for k in range(i, i + 35)}
+        want[(d, len(ws), len(gone), " ".join(w for i, w in enumerate(ws) if i not in gone))] += 1
+    assert rows(bits=6) == want == rows()
