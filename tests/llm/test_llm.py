@@ -373,3 +373,37 @@ def test_substrings_small_sketch(spark, docs):
         gone = {k for i in range(len(ws) - 34) if places[tuple(ws[i : i + 35])] > 1 for k in range(i, i + 35)}
         want[(d, len(ws), len(gone), " ".join(w for i, w in enumerate(ws) if i not in gone))] += 1
     assert rows(bits=6) == want == rows()
+
+
+def test_embeddings_planted(spark, monkeypatch):
+    """Recall on pairs at cosine 0.95 to 0.96, exact copies, a dense group over several blocks, and trees deeper than their sample."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.96, (3000, 1))
+    dense = x[0] + 0.01 * rng.standard_normal((300, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * y, dense, dense[:1], dense[:1]]))]
+    rows += [(7000, x[5].tolist()), (7000, x[6].tolist()), (7000, x[6].tolist()), (None, x[7].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(embeddings, "SAMPLE", 300)
+    monkeypatch.setattr(embeddings, "LEAF", 100)
+    monkeypatch.setattr(embeddings, "BLOCK", 128)
+    got = defaultdict(list)
+    for r in embeddings.near_duplicates(frame).collect():
+        got[r.vec_id].append((r.n_links, r.component_id, r.kept))
+    z = np.array([v for k, v in rows if k is not None])
+    ids = np.array([k for k, v in rows if k is not None])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    linked = z @ z.T >= 0.95
+    np.fill_diagonal(linked, False)
+    once = np.flatnonzero(ids < 7000)
+    n = {k: len({int(i) for i in ids[linked[k]]}) for k in once.tolist()}
+    pairs = [k for k in range(8, 3000) if n[k] == n[3000 + k] == 1]
+    assert len(pairs) > 2900 and np.mean([got[k][0][0] == 1 and got[3000 + k][0][1] == k for k in pairs]) > 0.97
+    for k in [*range(6000, 6302)]:
+        assert got[k][0][0] <= n[k] and got[k][0][0] >= 0.97 * n[k] and got[k][0][1] == 0
+    assert len(got[7000]) == 3 and got[7000][0][1] == 5 and got[6][0][1] == 5 and got[None] == [(0, None, True)]
+    assert sum(map(len, got.values())) == len(rows)
