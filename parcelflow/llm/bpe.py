@@ -6,7 +6,9 @@ places where it stands; a heap of ranks replays merges in rank order, and each m
 pairs beside it. Pieces already encoded by the worker come from a cache of bounded size.
 The rank file is a parameter; executors read it by its path, which an installed package provides.
 
-Null texts count as empty: no ids, digests of nothing. Any UTF-8 text round-trips.
+Null texts count as empty: no ids, digests of nothing; null ids stay. Any UTF-8 text round-trips. Repeated rows each give a row,
+and equal ranks don't occur. Only doc_id and text are read, whatever other columns are named. A text must fit in a
+task several times over; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, table
+from .common import mapped, slabs, table
 
-CACHE = 600_000
+# Bytes of pieces and their ids that a worker keeps, about.
+CACHE = 48 << 20
 SHIFT = 32
 EMPTY = np.zeros(0, "<u4")
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -130,15 +133,17 @@ class Codec:
         self.rank, self.pair = ranks(path), pairs(path)
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.cache: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts = [self.split(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if self.size > CACHE:
+            self.cache, self.size = {}, 0
         new = list({p for ps in parts for p in ps if p not in self.cache})
         for p, ids in zip(new, replay([p.encode() for p in new], self.rank, self.pair), strict=True):
             self.cache[p] = ids.tobytes()
+            self.size += 200 + len(p) + 4 * len(ids)
         return [b"".join(map(self.cache.__getitem__, ps)) for ps in parts]
 
     def decode(self, ids: bytes) -> bytes:
@@ -160,7 +165,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = own.encode(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids binary, decoded binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

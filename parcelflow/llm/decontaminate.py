@@ -7,7 +7,9 @@ travels, in blocks of about BLOCK_BYTES characters, so documents are never shuff
 gets a key, fixed by a checkpoint, and the rows that a block hits are merged by it.
 
 Null or empty texts have no words: n_words 0, not contaminated. Null or empty benchmark texts, and
-items with a null id, have no windows. Repeated rows each give their own row. An empty benchmark hits nothing.
+items with a null id, have no windows. Repeated rows each give their own row, null ids included; equal items are hit together.
+Only doc_id, text and item_id are read, whatever other columns are named. A text must fit in a task. An empty
+benchmark hits nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slabs, table
+from .common import durable, mapped, slabs, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 PRUNE_BITS = 22
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -114,6 +116,34 @@ SCHEMA = "doc_id long, n_words long, matches array<struct<start:long,length:long
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string())]))
 
 
+def _blocks(benchmark: DataFrame):
+    """Items in blocks of about BLOCK_BYTES of text; in memory a block takes some forty times as much."""
+    block, size = [], 0
+    for row in benchmark.select("item_id", "text").toLocalIterator():
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
+        size += len((row[1] or "").encode())
+    if block:
+        yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a match, in all their columns: one search after another, of which each moves nothing."""
+    sc = docs.sparkSession.sparkContext
+    for block in _blocks(benchmark):
+        shared = sc.broadcast(TestSuffixes(block, window))
+
+        def run(batches, shared=shared):
+            for b in slabs(batches):
+                got = shared.value.search(b["text"].to_pylist())
+                yield b.filter(pa.array([not x[1] for x in got], pa.bool_()))
+
+        docs = mapped(docs, run, docs.schema)
+    return docs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: n_words and its longest verbatim matches with every item (SCHEMA)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -131,20 +161,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
                 out = pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([x[0] for x in got], pa.int64()), pa.array(spans, _SPANS)], [*names, "n_words", "matches"])
                 yield out if every else out.filter(pa.array([bool(x[1]) for x in got], pa.bool_()))
 
-        return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in names), SCHEMA.split(", ", 1)[1]]))
+        return mapped(rows, run, ", ".join([*(f"{c} long" for c in names), SCHEMA.split(", ", 1)[1]]))
 
-    found, block, size, keyed = [], [], 0, None
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        if size >= BLOCK_BYTES:
+    found, keyed, held = [], None, None
+    for block in _blocks(benchmark):
+        if held is not None:
             if keyed is None:
                 keyed = durable(docs.withColumn("row", F.monotonically_increasing_id()))
-            found.append(search(keyed, block, not found))
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
+            found.append(search(keyed, held, not found))
+        held = block
     if not found:
-        return search(docs, block, True)
-    found.append(search(keyed, block, False))
+        return search(docs, held or [], True)
+    found.append(search(keyed, held, False))
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
@@ -168,7 +196,7 @@ def report(found: DataFrame) -> DataFrame:
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_words"], *cols, pa.array([g[0] > 0 for g in got], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "longest", "contaminated"])
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest long, contaminated boolean")
+    return mapped(found, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, longest long, contaminated boolean")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

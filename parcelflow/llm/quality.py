@@ -8,7 +8,9 @@ rows, and its probabilities are calibrated by a temperature fitted on every fift
 
 Null and empty texts have a zero vector and are scored from that. Rows that are held out (crc32 of the id
 mod 4 is 2) never train. The network is fitted whenever both kinds are among the training rows; without
-them every score is the share of label 1, or 0.5, and the model says so (`constant`).
+them every score is the share of label 1, or 0.5, and the model says so (`constant`). Rows that repeat an id all train, with its
+highest label, and each gets a score; null ids never train. Other columns than doc_id and text, whatever their names, are kept
+and not read. A text must fit in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, table
+from .common import HASH_BYTES, mapped, slabs, table
 
 BUCKETS, DIM, NONZERO, TRAIN, HIDDEN, SEED, ACCEPT = 1 << 14, 64, 4, 20_000, 32, 5, 0.7
 _SHAPE = [(re.compile(p), s) for p, s in ((r"[^\W\d_a-z]*[A-Z]+[^\W\d_a-z]*", "A"), (r"[^\W\d_A]+", "a"), (r"\d+", "0"))]
@@ -32,7 +34,7 @@ class _Buckets(dict):
     """A word's bucket, and that of its shape in the upper bits."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         s = w
         for p, to in _SHAPE:
@@ -61,7 +63,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches):
         at, sign = _index_vectors()
         total, buckets, any_text = np.zeros((2, BUCKETS * DIM)), _Buckets(), False
-        for b in slabs(batches):
+        for b in slabs(batches, size=HASH_BYTES):
             any_text = True
             docs = [_streams(t, buckets) for t in b["text"].to_pylist()]
             for k in range(2):
@@ -83,7 +85,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": pdf.chunk[:1], "salt": pdf.salt[:1], "sums": [total.tobytes()]})
 
     schema = "chunk int, salt int, sums binary"
-    sums = docs.select("text").mapInArrow(count, schema).groupBy("chunk", "salt").applyInPandas(add, schema)
+    sums = mapped(docs.select("text"), count, schema).groupBy("chunk", "salt").applyInPandas(add, schema)
     got = sums.groupBy("chunk").applyInPandas(add, schema).collect()  # 64 rows, 2 * BUCKETS * DIM numbers
     if not got:
         return np.zeros((2, BUCKETS, DIM), np.float32)
@@ -160,31 +162,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
     def pooled(batches):
         buckets = _Buckets()
-        for b in slabs(batches):
+        for b in slabs(batches, size=HASH_BYTES):
             x = [pool(t, shared.value, buckets).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id")
-    rows = rows.select("doc_id", "quality", "text").mapInArrow(pooled, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(TRAIN).collect()
+    rows = mapped(rows.select("doc_id", "quality", "text"), pooled, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(TRAIN).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float) if rows else np.zeros((0, 2 * DIM + 2))
     return vectors, Network(x, np.array([r["quality"] for r in rows], float))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
-    """The documents with a column score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], column: str = "score") -> DataFrame:
+    """The documents with a column score, which takes the place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(column)
 
     def run(batches):
         buckets = _Buckets()
-        for b in slabs(batches):
+        for b in slabs(batches, size=HASH_BYTES):
             vectors, network = shared.value
             s = network.score(np.array([pool(t, vectors, buckets) for t in b["text"].to_pylist()], float))
-            yield b.append_column("score", pa.array(s, pa.float64()))
+            yield b.append_column(column, pa.array(s, pa.float64()))
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return mapped(docs, run, StructType([*docs.schema.fields]).add(column, DoubleType()))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

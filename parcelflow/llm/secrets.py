@@ -8,7 +8,9 @@ weak candidate is reported only when a complementary part lies in its scope, tha
 secret, secret with endpoint, identifier with endpoint. Short assigned values link to identifiers alone. A sorted sweep
 does the join, so a text with many spans costs n log n.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows repeat.
+Null and empty texts have no spans; null ids stay. Offsets are code points, ends exclusive; spans that start together are told in
+the order of kinds. Repeated rows repeat. scan reads only doc_id and text; redact keeps all columns, whatever their names. A text
+must fit in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, table
+from .common import mapped, slabs, table
 
 SCOPE = 200
 # The base patterns.
@@ -119,7 +121,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "<SECRET>") -> DataFrame:
@@ -140,7 +142,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "<SECRET>") -> DataF
         for b in slabs(batches):
             yield b.set_column(at, "text", pa.array([hide(t) for t in b["text"].to_pylist()], pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = mapped(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
