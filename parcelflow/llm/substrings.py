@@ -167,24 +167,74 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, depth:
     release(marks)
 
     def windows(batches):
-        n = window - run + 1
+        """The windows near repeated runs, told apart within a task first. Those that stand there twice are hits, given by row
+        in at; of equal ones the first goes on, to be counted with those of other tasks, and so do single ones."""
+        n, found, size = window - run + 1, [], 0
+        names = ["row", "at", "ha", "hb", "n"]
+
+        def given():
+            row, at, ha, hb = (np.concatenate(f) for f in zip(*found, strict=True))
+            order = np.lexsort((hb, ha))
+            ha, hb = ha[order], hb[order]
+            first = np.concatenate([[True], (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])
+            many = np.diff(np.append(np.flatnonzero(first), len(first)))
+            again = many[np.cumsum(first) - 1] > 1
+            lone = order[first]
+            of = [pa.array(x) for x in (row[lone], at[lone], ha[first], hb[first])]
+            hit = np.sort(order[again])
+            ends = np.flatnonzero(np.append(row[hit][1:] != row[hit][:-1], True)) + 1 if len(hit) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(at[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[hit][ends - 1]), lists, *(pa.nulls(len(ends), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names)
+            for k in range(0, len(lone), 100_000):
+                part = [x[k : k + 100_000] for x in of]
+                single = pa.ListArray.from_arrays(np.arange(len(part[0]) + 1, dtype=np.int32), part[1])
+                yield pa.RecordBatch.from_arrays([part[0], single, part[2], part[3], pa.array(np.minimum(many[k : k + 100_000], 2).astype(np.int32))], names)
+
         for b in slabs(batches, size=HASH_BYTES):
             (ha, begin), (hb, _) = (word_hashes(b["text"], SPACE, SAME, w) for w in (0, 1))
-            found = []
             for key, x, y, at in zip(b["row"].to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), b["at"].to_pylist(), strict=True):
                 flag = np.zeros(y - x - run + 2, np.int64)
                 flag[np.array(at)] = 1
                 near = np.cumsum(np.concatenate([[0], flag[:-1]]))
                 p = np.flatnonzero(near[n:] - near[:-n] > 0)
                 found.append((np.full(len(p), key, np.int64), p.astype(np.int32), *(_rolling(h[x:y], window, odd)[p].view(np.int64) for h, odd in zip((ha, hb), _ODD, strict=True))))
-            for at in range(0, len(found), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found[at : at + 500], strict=True)], ["row", "at", "ha", "hb"])
+                size += len(p)
+            if size > HELD // 2:
+                yield from given()
+                found, size = [], 0
+        if found:
+            yield from given()
+
+    def repeated(batches):
+        """Of rows sorted by window those whose window stands anywhere else; a run of equal windows isn't held but by its first row."""
+        held = None
+        names = ["row", "at"]
+        for b in batches:
+            if not len(b):
+                continue
+            row, at, ha, hb, n = (b[c].to_numpy() for c in ("row", "at", "ha", "hb", "n"))
+            if held is not None:
+                row, at, ha, hb, n = (np.concatenate([[h], x]) for h, x in zip(held, (row, at, ha, hb, n), strict=True))
+            first = np.concatenate([[True], (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])
+            starts = np.flatnonzero(first)
+            twice = (np.add.reduceat(n, starts) > 1)[np.cumsum(first) - 1]
+            # The last row waits: what follows may equal it. Held as counted, it makes those that follow hits.
+            twice[-1] = False
+            k = starts[-1]
+            held = (row[-1], at[-1], ha[-1], hb[-1], min(2, n[k:].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(row[twice].astype(np.int64)), pa.array(at[twice].astype(np.int32))], names)
+            # Equal windows in this batch but the last are hits already if there are several; a single one waits.
+        if held is not None and held[4] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int32())], names)
 
     maybe, _ = sieve(rows, runs, ["row"])
-    seen = durable(mapped(maybe.join(runs, "row").select("row", "text", "at"), windows, "row long, at int, ha long, hb long"))
-    often = seen.groupBy("ha", "hb").agg(F.count("*").alias("n")).where("n > 1")
-    hits = durable(attach(seen, often, ["ha", "hb"], seen.count()).groupBy("row").agg(F.collect_list("at").alias("hits")))
-    release(runs, seen)
+    seen = mapped(maybe.join(runs, "row").select("row", "text", "at"), windows, "row long, at array<int>, ha long, hb long, n int")
+    own = seen.where("ha is null").select("row", "at")
+    others = seen.where("ha is not null").select("row", F.col("at")[0].alias("at"), "ha", "hb", "n")
+    others = mapped(others.repartition("ha", "hb").sortWithinPartitions("ha", "hb"), repeated, "row long, at int")
+    hits = own.unionByName(others.groupBy("row").agg(F.collect_list("at").alias("at")))
+    hits = durable(hits.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("hits")))
+    release(runs)
 
     def cut(batches):
         for b in slabs(batches):
