@@ -10,31 +10,46 @@ PARTS = (("dep", 2), ("mun", 2), ("sec", 3), ("chac", 4), ("mz", 4))
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+", ""), r"\s+$", "")
+    """Without white space, of any script, at both ends; null is blank."""
+    space = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"^{space}|{space}$", "")
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _filled(t: Column) -> Column:
+    signed = F.when(t.rlike("^[+-]"), F.concat(F.substring(t, 1, 1), F.lpad(F.substring(t, 2, 9), 3, "0")))
+    return F.when((t == "") | (F.length(t) >= 4), t).otherwise(F.coalesce(signed, F.lpad(t, 4, "0")))
 
 
 def normalized(number: Column) -> Column:
-    """Upper case, padded to four; blank stays blank and longer numbers stay whole."""
-    t = F.upper(trimmed(number))
-    return F.when((t == "") | (F.length(t) >= 4), t).otherwise(F.lpad(t, 4, "0"))
+    """Upper case, padded to four behind a sign; blank stays blank and longer numbers stay whole."""
+    return let(F.upper(trimmed(number)), _filled)
 
 
-def valid(number: Column) -> Column:
-    n = normalized(number)
+def is_valid(n: Column) -> Column:
+    """Of a normalized number."""
     digits = F.regexp_extract(n, "^[0-9]+", 0).try_cast("int")
     return n.rlike("^[0-9]{3}[0-9A-ZÑ]$") & (F.coalesce(digits, F.lit(0)) >= 1)
 
 
+def valid(number: Column) -> Column:
+    return let(normalized(number), is_valid)
+
+
 def block_code(parts: dict[str, Column]) -> Column:
     """The padded parts joined; blank if a part isn't 1 to width digits."""
-    ok, out = F.lit(True), []
-    for name, width in PARTS:
-        p = trimmed(parts[name])
-        ok = ok & p.rlike(f"^[0-9]{{1,{width}}}$")
-        out.append(F.lpad(p, width, "0"))
-    return F.when(ok, F.concat(*out)).otherwise("")
+    fit = lambda w: lambda p: F.when(p.rlike(f"^[0-9]{{1,{w}}}$"), F.lpad(p, w, "0"))
+    return F.coalesce(F.concat(*(let(trimmed(parts[name]), fit(width)) for name, width in PARTS)), F.lit(""))
 
 
-def parcel_code(block: Column, number: Column) -> Column:
-    n = normalized(number)
+def code_of(block: Column, n: Column) -> Column:
+    """Of a normalized number."""
     return F.when((block != "") & F.length(n).between(1, 4), F.concat(block, n)).otherwise("")
+
+
+def parcel_code(block: Column, number: Column) -> Column:
+    return let(normalized(number), lambda n: code_of(block, n))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelflow.functions import codes
-from parcelflow.operators import select
+from parcelflow.functions import codes, rules
+from parcelflow.functions import geometry as geo
+from parcelflow.operators import select, topology
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -39,8 +40,8 @@ def parcels(spark, d):
 def coded(p):
     block = codes.block_code({k: F.col(k) for k, _ in codes.PARTS})
     p = p.withColumn("block", block).withColumn("number", codes.normalized(F.col("raw_no")))
-    p = p.withColumn("cca", codes.parcel_code(F.col("block"), F.col("number")))
-    return p.withColumn("ready", (F.col("cca") != "") & codes.valid(F.col("number")) & F.col("reviewed"))
+    p = p.withColumn("cca", codes.code_of(F.col("block"), F.col("number")))
+    return p.withColumn("ready", (F.col("cca") != "") & codes.is_valid(F.col("number")) & F.col("reviewed"))
 
 
 PARCELS_SQL = """p0 AS (SELECT o_orderkey AS fid, n_regionkey + 1 AS dep, c_nationkey AS mun, o_custkey % 12 AS sec, '0' AS chac,
@@ -70,7 +71,7 @@ def q_code_rebuild(spark, d):
     p = coded(parcels(spark, d)).where("cca <> ''")
     part = lambda a, n: F.substring("cca", a, n)
     block = codes.block_code({"dep": part(1, 2), "mun": part(3, 2), "sec": F.lit("3"), "chac": part(8, 4), "mz": F.lit("7")})
-    return p.select("fid", codes.parcel_code(block, F.col("number")).alias("cca"))
+    return p.select("fid", codes.code_of(block, F.col("number")).alias("cca"))
 
 
 @query(f"""WITH {PARCELS_SQL}, e AS (SELECT o_orderkey AS fid, (o_orderkey % 900 + 1)::VARCHAR AS e_no, o_orderkey % 33 = 0 AS deleted FROM orders WHERE o_orderkey % 11 = 0)
@@ -84,13 +85,11 @@ def q_review_merge(spark, d):
     return j.select("fid", F.coalesce("e_no", "raw_no").alias("raw_no"), F.when(new, F.lit(3).cast("long")).otherwise(F.col("sec")).alias("sec"), F.when(new, "7").otherwise(F.col("mz")).alias("mz"), (F.col("reviewed") | new).alias("reviewed"))
 
 
-@query(BASE + """SELECT fid, number, array_to_string(list_sort(list_distinct([number, CASE WHEN ltrim(number, '0') = '' THEN '0' ELSE ltrim(number, '0') END,
-  CASE WHEN regexp_full_match(number, '[0-9]{3}[A-Z]') THEN substr(number, 2) END, CASE WHEN regexp_full_match(number, '00[0-9]{2}') THEN substr(number, 3) END])), ',') AS variants FROM p2 WHERE number <> ''""")
+@query(BASE + """SELECT fid, number, array_to_string(list_transform(list_sort(list_transform(list_filter(list_distinct([number, CASE WHEN ltrim(number, '0') = '' THEN '0' ELSE ltrim(number, '0') END,
+  CASE WHEN regexp_full_match(number, '[0-9]{3}[A-ZÑ]') THEN substr(number, 2) END, CASE WHEN regexp_full_match(number, '00[0-9]{2}') THEN substr(number, 3) END]), lambda x: x IS NOT NULL),
+  lambda x: {'n': length(x), 'v': x})), lambda x: x.v), ',') AS variants FROM p2 WHERE number <> ''""")
 def q_label_variants(spark, d):
-    n = F.col("number")
-    bare = F.regexp_replace(n, "^0+", "")
-    vs = F.array(n, F.when(bare == "", "0").otherwise(bare), F.when(n.rlike("^[0-9]{3}[A-Z]$"), F.substring(n, 2, 9)), F.when(n.rlike("^00[0-9]{2}$"), F.substring(n, 3, 9)))
-    return coded(parcels(spark, d)).where("number <> ''").select("fid", "number", F.array_join(F.array_sort(F.array_distinct(F.array_compact(vs))), ",").alias("variants"))
+    return coded(parcels(spark, d)).where("number <> ''").select("fid", "number", F.array_join(rules.display_forms(F.col("number")), ",").alias("variants"))
 
 
 SEG_SQL = "s AS (SELECT l_orderkey, l_linenumber, min(l_partkey) % 200 AS c0, min(l_suppkey) % 100 AS r0, max(l_partkey) % 200 + min(l_quantity)::INT AS c1, max(l_suppkey) % 100 AS r1 FROM lineitem GROUP BY 1, 2)"
@@ -102,44 +101,67 @@ def segments(spark, d):
 
 @query(f"WITH {SEG_SQL} SELECT *, (1000 + 0.5 * c0)::DOUBLE AS x, (2000 - 0.5 * r0)::DOUBLE AS y, floor((1000 + 0.5 * c0 - 1000) / 0.5)::BIGINT AS c, floor((2000 - 0.5 * r0 - 2000) / -0.5)::BIGINT AS r FROM s")
 def q_affine_roundtrip(spark, d):
-    s = segments(spark, d).withColumn("x", F.lit(1000.0) + F.lit(0.5) * F.col("c0")).withColumn("y", F.lit(2000.0) - F.lit(0.5) * F.col("r0"))
-    return s.withColumn("c", F.floor((F.col("x") - 1000) / 0.5)).withColumn("r", F.floor((F.col("y") - 2000) / -0.5))
+    g = geo.geotransform(1000, 0.5, 0, 2000, 0, -0.5)
+    x, y = geo.to_world(F.col("c0"), F.col("r0"), g)
+    s = segments(spark, d).withColumn("x", x).withColumn("y", y)
+    c, r = geo.to_cell(F.col("x"), F.col("y"), g)
+    return s.withColumn("c", c).withColumn("r", r)
 
 
-@query(f"WITH {SEG_SQL} SELECT l_orderkey, l_linenumber, round(sqrt((c1-c0)*(c1-c0)+(r1-r0)*(r1-r0)), 4) AS length FROM s")
+@query(f"""WITH {SEG_SQL}, f AS (SELECT *, CASE WHEN atan2(r1-r0, c1-c0) < 0 THEN atan2(r1-r0, c1-c0) + pi() WHEN atan2(r1-r0, c1-c0) >= pi() THEN 0 ELSE atan2(r1-r0, c1-c0) END AS a FROM s)
+SELECT l_orderkey, l_linenumber, round(sqrt((c1-c0)*(c1-c0)+(r1-r0)*(r1-r0)), 4) AS length, round(a, 4) AS angle, round(r0*cos(a) - c0*sin(a), 4) + 0.0 AS "offset",
+round(least(c0*cos(a) + r0*sin(a), c1*cos(a) + r1*sin(a)), 4) + 0.0 AS tmin, round(greatest(c0*cos(a) + r0*sin(a), c1*cos(a) + r1*sin(a)), 4) + 0.0 AS tmax FROM f""")
 def q_segment_features(spark, d):
-    dx, dy = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
-    return segments(spark, d).select("l_orderkey", "l_linenumber", F.round(F.sqrt((dx * dx + dy * dy).cast("double")), 4).alias("length"))
+    f = geo.features(*(F.col(c) for c in ("c0", "r0", "c1", "r1")))
+    return segments(spark, d).select("l_orderkey", "l_linenumber", *((F.round(v, 4) + 0.0).alias(k) for k, v in f.items()))
+
+
+def grid(spark, d):
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), (F.col("l_linenumber") % 2).alias("ori"), F.col("l_quantity").cast("int").alias("pos")).distinct()
 
 
 @query("""WITH g AS (SELECT DISTINCT l_orderkey, l_linenumber % 2 AS ori, l_quantity::INT AS pos FROM lineitem),
 n AS (SELECT l_orderkey, count(*) FILTER (WHERE ori = 1) AS v, count(*) FILTER (WHERE ori = 0) AS h FROM g GROUP BY 1)
 SELECT l_orderkey, greatest(v - 1, 0) * greatest(h - 1, 0) AS n_faces FROM n WHERE v > 1 AND h > 1""")
 def q_faces(spark, d):
-    g = _t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("ori"), F.col("l_quantity").cast("int").alias("pos")).distinct()
-    from pyspark.sql import Window
+    return topology.cells(grid(spark, d)).groupBy(F.col("sheet").alias("l_orderkey")).agg(F.count("*").alias("n_faces"))
 
-    gap = g.withColumn("next", F.lead("pos").over(Window.partitionBy("l_orderkey", "ori").orderBy("pos"))).where("next is not null")
-    cells = gap.where("ori = 1").join(gap.where("ori = 0").select("l_orderkey", F.col("pos").alias("y")), "l_orderkey")
-    return cells.groupBy("l_orderkey").agg(F.count("*").alias("n_faces"))
 
+ATTEMPTS_SQL = """a AS (SELECT user_id AS sheet, (event_id % 2)::INT AS recover, CASE event_type WHEN 'click' THEN 4 WHEN 'view' THEN 6 WHEN 'error' THEN 8 WHEN 'purchase' THEN 10 ELSE 14 END AS stroke_px,
+  round(least(1, max(value) / 300), 4) AS cov, max(value) > 60 AS has_faces FROM events GROUP BY user_id, event_type, event_id % 2),
+c AS (SELECT sheet, recover, count_if(has_faces) AS n, max(CASE WHEN has_faces THEN CASE WHEN cov < 0.5 THEN 0.001 ELSE cov END END) AS best FROM a GROUP BY 1, 2),
+chosen AS (SELECT a.sheet, a.recover, CASE WHEN n = 0 THEN max(stroke_px)
+  WHEN a.recover = 1 THEN max(stroke_px) FILTER (WHERE has_faces AND CASE WHEN cov < 0.5 THEN 0.001 ELSE cov END = best)
+  ELSE max(stroke_px) FILTER (WHERE has_faces AND CASE WHEN cov < 0.5 THEN 0.001 ELSE cov END >= best - 0.3) END AS stroke_px FROM a JOIN c USING (sheet, recover) GROUP BY a.sheet, a.recover, n)"""
 
-@query("""WITH a AS (SELECT user_id AS sheet, (event_id % 2)::INT AS recover, CASE event_type WHEN 'click' THEN 4 WHEN 'view' THEN 6 WHEN 'error' THEN 8 WHEN 'purchase' THEN 10 ELSE 14 END AS stroke_px,
-  round(least(1, max(value) / 300), 4) AS cov FROM events GROUP BY user_id, event_type, event_id % 2),
-s AS (SELECT *, CASE WHEN cov < 0.5 THEN 0.001 ELSE cov END AS score FROM a), b AS (SELECT *, max(score) OVER (PARTITION BY sheet, recover) AS best FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY sheet, recover ORDER BY CASE WHEN recover = 1 THEN -score ELSE 0 END, stroke_px DESC) AS k FROM b WHERE recover = 1 OR score >= best - 0.3)
-SELECT sheet, recover, stroke_px, cov FROM r WHERE k = 1""")
-def q_width_select(spark, d):
+
+def attempts(spark, d):
     px = F.expr("CASE event_type WHEN 'click' THEN 4 WHEN 'view' THEN 6 WHEN 'error' THEN 8 WHEN 'purchase' THEN 10 ELSE 14 END")
-    e = _t(spark, d, "events").groupBy(F.col("user_id").alias("sheet"), "event_type", (F.col("event_id") % 2).cast("int").alias("recover")).agg(F.round(F.least(F.lit(1.0), F.max("value") / 300), 4).alias("cov"))
-    return select.width(e.withColumn("stroke_px", px))
+    e = _t(spark, d, "events").groupBy(F.col("user_id").alias("sheet"), "event_type", (F.col("event_id") % 2).cast("int").alias("recover")).agg(F.round(F.least(F.lit(1.0), F.max("value") / 300), 4).alias("cov"), (F.max("value") > 60).alias("has_faces"))
+    return e.withColumn("stroke_px", px).drop("event_type")
+
+
+@query(f"WITH {ATTEMPTS_SQL} SELECT sheet, recover, stroke_px, cov, has_faces FROM chosen JOIN a USING (sheet, recover, stroke_px)")
+def q_width_select(spark, d):
+    return select.width(attempts(spark, d))
 
 
-READS_SQL = "SELECT l_orderkey AS poly_idx, l_partkey AS marker_id, 5 * l_linenumber AS angle, lpad((l_suppkey % 30)::VARCHAR, 2, '0') AS text, round(10 * l_discount, 2) AS min_conf, l_quantity::INT - 10 AS dist FROM lineitem"
+@query(f"""WITH {ATTEMPTS_SQL}, j AS (SELECT sheet, recover, stroke_px, cov, has_faces FROM chosen JOIN a USING (sheet, recover, stroke_px))
+SELECT * FROM j p WHERE (recover = 0 AND (has_faces OR NOT EXISTS (SELECT 1 FROM j q WHERE q.sheet = p.sheet AND q.recover = 1 AND q.has_faces)))
+OR (recover = 1 AND NOT EXISTS (SELECT 1 FROM j q WHERE q.sheet = p.sheet AND q.recover = 0 AND (q.has_faces OR NOT p.has_faces)))""")
+def q_escalated(spark, d):
+    return select.escalated(select.width(attempts(spark, d)))
+
+
+READS_SQL = "SELECT l_orderkey // 4 AS poly_idx, l_linenumber AS marker_id, 5 * (l_partkey % 9) AS angle, lpad((l_suppkey % 3 + 8)::VARCHAR, CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 3 END, '0') || CASE l_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'Ñ' WHEN 2 THEN '-' ELSE '' END AS text, round(10 * l_discount, 2) AS min_conf, l_quantity::INT - 10 AS dist FROM lineitem"
 
 
 def reads(spark, d):
-    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("poly_idx"), F.col("l_partkey").alias("marker_id"), (5 * F.col("l_linenumber")).alias("angle"), F.lpad((F.col("l_suppkey") % 30).cast("string"), 2, "0").alias("text"), F.round(10 * F.col("l_discount"), 2).alias("min_conf"), (F.col("l_quantity").cast("int") - 10).alias("dist"))
+    """Reads by marker of a polygon; some have no form of a number, some Ñ."""
+    tail = F.expr("CASE l_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'Ñ' WHEN 2 THEN '-' ELSE '' END")
+    body = (F.col("l_suppkey") % 3 + 8).cast("string")
+    text = F.concat(F.when(F.col("l_suppkey") % 2 == 0, F.lpad(body, 2, "0")).otherwise(F.lpad(body, 3, "0")), tail)
+    return _t(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("poly_idx"), F.col("l_linenumber").alias("marker_id"), (5 * (F.col("l_partkey") % 9)).alias("angle"), text.alias("text"), F.round(10 * F.col("l_discount"), 2).alias("min_conf"), (F.col("l_quantity").cast("int") - 10).alias("dist"))
 
 
 @query(f"""WITH m AS (SELECT poly_idx, marker_id, max(dist) AS dist FROM ({READS_SQL}) GROUP BY 1, 2),
@@ -149,19 +171,36 @@ def q_topk_markers(spark, d):
     return select.first_of(m, ["poly_idx"], [F.desc("dist"), F.col("marker_id")], 4)
 
 
-@query(f"""WITH t AS (SELECT poly_idx, text, count(DISTINCT angle) AS n, max(min_conf) AS conf FROM ({READS_SQL}) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY poly_idx ORDER BY n DESC, conf DESC, text DESC) AS k FROM t),
-o AS (SELECT poly_idx, max(conf) AS rival FROM r WHERE k > 1 GROUP BY 1)
-SELECT r.poly_idx, text, n AS n_angles, round(CASE WHEN rival >= conf THEN least(conf, 0.899999) ELSE conf END, 6) AS conf FROM r LEFT JOIN o USING (poly_idx) WHERE k = 1""")
+CONSENSUS_SQL = f"""t AS (SELECT poly_idx, marker_id, text, count(DISTINCT angle) AS n, max(min_conf) AS conf FROM ({READS_SQL})
+WHERE regexp_full_match(text, '[0-9]{{1,4}}|[0-9]{{1,3}}[A-ZÑ]') AND length(text) >= 2 GROUP BY 1, 2, 3),
+w AS (SELECT poly_idx, marker_id, max_by(text, (n, conf, length(text), text)) AS text FROM t GROUP BY 1, 2),
+c AS (SELECT poly_idx, marker_id, w.text, n AS n_angles, round(CASE WHEN (SELECT max(o.conf) FROM t o WHERE o.poly_idx = t.poly_idx AND o.marker_id = t.marker_id AND o.text <> t.text) >= conf
+THEN least(conf, 0.899999) ELSE conf END, 6) AS conf FROM w JOIN t USING (poly_idx, marker_id, text))"""
+
+
+@query(f"WITH {CONSENSUS_SQL} SELECT poly_idx, marker_id, text, n_angles, conf FROM c")
 def q_consensus(spark, d):
     return select.consensus(reads(spark, d))
 
 
-@query(f"""WITH b AS (SELECT poly_idx, max(text) AS text FROM ({READS_SQL}) WHERE min_conf >= 0.5 GROUP BY 1)
-SELECT text, min(poly_idx) AS poly_idx FROM b GROUP BY 1""")
+@query(f"""WITH {CONSENSUS_SQL}, m AS (SELECT DISTINCT poly_idx, marker_id, max(dist) OVER (PARTITION BY poly_idx, marker_id) AS dist FROM ({READS_SQL})),
+k AS (SELECT *, row_number() OVER (PARTITION BY poly_idx ORDER BY dist DESC, marker_id) AS k FROM m WHERE dist >= 15),
+b AS (SELECT poly_idx, max((conf, text)) AS x FROM c JOIN k USING (poly_idx, marker_id) WHERE k <= 3 GROUP BY 1), e AS (SELECT poly_idx, x[1] AS conf, x[2] AS text FROM b)
+SELECT poly_idx, CASE WHEN conf >= 0.5 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.conf >= 0.5 AND upper(o.text) = upper(e.text) AND o.poly_idx < e.poly_idx) THEN text ELSE '' END AS text,
+CASE WHEN conf >= 0.9 THEN 'auto' WHEN conf >= 0.5 THEN 'suggest' ELSE 'none' END AS band FROM e""")
+def q_read_polygons(spark, d):
+    r = reads(spark, d)
+    m = r.groupBy("poly_idx", "marker_id").agg(F.max("dist").alias("dist")).where("dist >= 15")
+    near = select.first_of(m, ["poly_idx"], [F.desc("dist"), F.col("marker_id")], 3)
+    best = select.consensus(r).join(near, ["poly_idx", "marker_id"]).groupBy("poly_idx").agg(F.max(F.struct("conf", "text")).alias("b")).select("poly_idx", "b.*")
+    return select.first_claims(best, F.col("conf") >= rules.SUGGEST).select("poly_idx", "text", rules.band(F.col("conf")).alias("band"))
+
+
+@query(f"""WITH s AS (SELECT poly_idx, text, 1000 - 900 * min_conf - 3 * (poly_idx % 7) AS score FROM ({READS_SQL}) WHERE regexp_full_match(text, '[0-9]{{1,4}}|[0-9]{{1,3}}[A-ZÑ]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY poly_idx ORDER BY score - 800 * length(text), text, score) AS k FROM s), b AS (SELECT * FROM r WHERE k = 1)
+SELECT poly_idx, CASE WHEN length(text) >= 2 AND score <= 200 AND NOT EXISTS (SELECT 1 FROM b o WHERE length(o.text) >= 2 AND o.score <= 200 AND upper(o.text) = upper(b.text) AND o.poly_idx < b.poly_idx) THEN text ELSE '' END AS text FROM b""")
 def q_first_claim(spark, d):
-    best = reads(spark, d).where("min_conf >= 0.5").groupBy("poly_idx").agg(F.max("text").alias("text"))
-    return best.groupBy("text").agg(F.min("poly_idx").alias("poly_idx"))
+    return select.free_read(reads(spark, d).select("poly_idx", "text", (1000 - 900 * F.col("min_conf") - 3 * (F.col("poly_idx") % 7)).alias("score")))
 
 
 @query("""SELECT user_id::VARCHAR || '_' || event_type || '.png' AS file, max(event_id) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f

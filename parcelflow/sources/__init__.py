@@ -1 +1 @@
-
+"""Sheet metadata in, parcels and blocks out."""

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as e
-from parcelflow.plans.catalog import ORACLE
+from parcelflow.plans import ORACLE
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def spark():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("nation", "customer", "orders", "lineitem", "events"):
+    for t in ("nation", "customer", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     want = con.sql(e.oracle_sql()[name])
     got = e.queries()[name](spark, SF)
