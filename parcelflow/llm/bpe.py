@@ -32,6 +32,17 @@ CACHE = 48 << 20
 SHIFT = 32
 EMPTY = np.zeros(0, "<u4")
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+# Code points that the regex module knows as letters or numbers and the tiktoken library, of an older Unicode, does not.
+UNASSIGNED = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3
+16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24
+1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
+2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+RARE = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in UNASSIGNED.split()) + "]")
+# What stands for them while a text is cut: neither letter, number nor white space.
+STAND_IN = "\ue000"
 
 
 @lru_cache(2)
@@ -129,12 +140,21 @@ def replay(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int]) ->
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.rank, self.pair = ranks(path), pairs(path)
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.cache: dict[str, bytes] = {}
         self.size = 0
 
+    def split(self, text: str) -> list[str]:
+        if not RARE.search(text):
+            return self.pieces(text)
+        out, at = [], 0
+        for p in self.pieces(RARE.sub(STAND_IN, text)):
+            out.append(text[at : at + len(p)])
+            at += len(p)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts = [self.split(t) if t else [] for t in texts]

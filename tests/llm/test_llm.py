@@ -407,3 +407,39 @@ def test_embeddings_planted(spark, monkeypatch):
         assert got[k][0][0] <= n[k] and got[k][0][0] >= 0.97 * n[k] and got[k][0][1] == 0
     assert len(got[7000]) == 3 and got[7000][0][1] == 5 and got[6][0][1] == 5 and got[None] == [(0, None, True)]
     assert sum(map(len, got.values())) == len(rows)
+
+
+def test_bpe_every_code_point():
+    """Pieces as tiktoken cuts them: in this vocabulary a letter or number merges with what follows it in its piece."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for b in range(0x80, 0xC0):
+        for e in b"a1":
+            ranks[bytes([b, e])] = len(ranks)
+    own = tiktoken.Encoding("probe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(P.path(bpe.RANK_FILE), P.PATTERN)
+    points = [chr(x) for x in range(0x80, 0x40000) if not 0xD800 <= x < 0xE000]
+    for end in "a1":
+        for c in points:
+            merged = len(own.encode_ordinary(c + end)) == len(c.encode())
+            assert (len(codec.split(c + end)) == 1) == merged, hex(ord(c))
+    assert "".join(codec.split("x\U00018DA7\U00033000y \U0001E6E7")) == "x\U00018DA7\U00033000y \U0001E6E7"
+
+
+def test_chats_ambiguous(spark):
+    """A line break in a role, null turns, roles and texts, a null id: against turn lists in Python, and the SQL likewise."""
+    import duckdb
+
+    rows = [(1, 0, "a\nb", "c"), (2, 0, "a", "b\nc"), (3, None, "user", "x"), (3, 0, "user", "y"), (4, 0, "user", "x"), (5, 0, None, None), (5, 1, "", "z"), (6, 0, "", ""), (None, 0, "a", "b\nc"), (7, 0, "r", "t"), (8, 0, "r", "t")]
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        convs[c].append((t is not None, t or 0, r or "", x or ""))
+    k = {c: [v[2:] for v in sorted(vs)] for c, vs in convs.items()}
+    first = lambda c: min((o for o in k if k[o] == k[c] and o is not None), default=None) == c
+    want = sorted(c for c in k if c is not None and first(c) and not any(len(o) > len(k[c]) and o[: len(k[c])] == k[c] for o in k.values()))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(r.conv_id for r in chats.maximal(frame).collect()) == want == [1, 2, 3, 5, 7]
+    conversations = frame.where("conv_id is not null").toPandas()  # noqa: F841 - the SQL reads it
+    assert sorted(r[0] for r in duckdb.sql(chats.OP5_SQL).fetchall()) == want
