@@ -179,8 +179,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, depth:
             first = np.concatenate([[True], (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])
             many = np.diff(np.append(np.flatnonzero(first), len(first)))
             again = many[np.cumsum(first) - 1] > 1
-            lone = order[first]
-            of = [pa.array(x) for x in (row[lone], at[lone], ha[first], hb[first])]
+            # In the order of the texts again: equal keys of rows in sequence compress well on their way.
+            back = np.argsort(order[first])
+            lone, many = order[first][back], many[back]
+            of = [pa.array(x) for x in (row[lone], at[lone], ha[first][back], hb[first][back])]
             hit = np.sort(order[again])
             ends = np.flatnonzero(np.append(row[hit][1:] != row[hit][:-1], True)) + 1 if len(hit) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(at[hit]))
@@ -230,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, depth:
     maybe, _ = sieve(rows, runs, ["row"])
     seen = mapped(maybe.join(runs, "row").select("row", "text", "at"), windows, "row long, at array<int>, ha long, hb long, n int")
     own = seen.where("ha is null").select("row", "at")
-    others = seen.where("ha is not null").select("row", F.col("at")[0].alias("at"), "ha", "hb", "n")
+    others = seen.where("ha is not null").select("row", "n", "ha", "hb", F.col("at")[0].alias("at"))
     others = mapped(others.repartition("ha", "hb").sortWithinPartitions("ha", "hb"), repeated, "row long, at int")
     hits = own.unionByName(others.groupBy("row").agg(F.collect_list("at").alias("at")))
     hits = durable(hits.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("hits")))
