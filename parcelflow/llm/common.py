@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SLAB_BYTES = 4_000_000
 # Texts whose words are hashed at once.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 # Bytes of an Arrow batch on its way to Python; Spark's own limit is eight times as much.
 BATCH_BYTES = 8 << 20
 # A key that has more than 1 / HOT of all rows is hot, so there are fewer than HOT of them.
@@ -191,7 +191,7 @@ def word_hashes(texts: pa.Array, space: np.ndarray, fold: np.ndarray, which: int
     """64-bit hashes of the words of all texts in a row, and where each text's words begin (one more than texts).
 
     Words are the longest runs of bytes for which space (by byte) is false; fold gives the byte that stands for a byte. The hash is
-    a polynomial of the bytes, taken from running sums over the whole array; which chooses one of two."""
+    a polynomial of the bytes, taken from running sums; which chooses one of two."""
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts, "")
@@ -205,8 +205,15 @@ def word_hashes(texts: pa.Array, space: np.ndarray, fold: np.ndarray, which: int
     before = np.concatenate([[False], inside[:-1]]) & ~row[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~row[1:]
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(len(x) + 1, which)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[which][fold[x]] * up[: len(x)], dtype=np.uint64)])
-    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+    h = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        # Words of about HASH_BYTES at once (or one longer word); where a word stands doesn't change its hash.
+        j = max(i + 1, int(np.searchsorted(end, start[i] + HASH_BYTES, "right")))
+        y, s, e = x[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
+        up, down = _powers(len(y) + 1, which)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[which][fold[y]] * up[: len(y)], dtype=np.uint64)])
+        h[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29)), np.searchsorted(start, at)

@@ -24,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BYTES, mapped, slabs, table
+from .common import mapped, slabs, table
 
 BUCKETS, DIM, NONZERO, TRAIN, HIDDEN, SEED, ACCEPT = 1 << 14, 64, 4, 20_000, 32, 5, 0.7
+# Texts whose words are counted at once.
+COUNT_BYTES = 1 << 20
 _SHAPE = [(re.compile(p), s) for p, s in ((r"[^\W\d_a-z]*[A-Z]+[^\W\d_a-z]*", "A"), (r"[^\W\d_A]+", "a"), (r"\d+", "0"))]
 
 
@@ -63,7 +65,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches):
         at, sign = _index_vectors()
         total, buckets, any_text = np.zeros((2, BUCKETS * DIM)), _Buckets(), False
-        for b in slabs(batches, size=HASH_BYTES):
+        for b in slabs(batches, size=COUNT_BYTES):
             any_text = True
             docs = [_streams(t, buckets) for t in b["text"].to_pylist()]
             for k in range(2):
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
 
     def pooled(batches):
         buckets = _Buckets()
-        for b in slabs(batches, size=HASH_BYTES):
+        for b in slabs(batches, size=COUNT_BYTES):
             x = [pool(t, shared.value, buckets).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -179,7 +181,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], column: str = "sco
 
     def run(batches):
         buckets = _Buckets()
-        for b in slabs(batches, size=HASH_BYTES):
+        for b in slabs(batches, size=COUNT_BYTES):
             vectors, network = shared.value
             s = network.score(np.array([pool(t, vectors, buckets) for t in b["text"].to_pylist()], float))
             yield b.append_column(column, pa.array(s, pa.float64()))
