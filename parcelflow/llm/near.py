@@ -228,7 +228,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         edges.append(_verified(plausible, classes, docs, n, percent))
         release(pairs, plausible)
         # Leaders have met all others of their buckets. What isn't known yet to be connected may only meet again.
-        left = members.where("cid <> lead")
+        left = members.where("cid <> lead").drop("root", "rows")
         near = edges[0]
         for e in edges[1:]:
             near = near.union(e)

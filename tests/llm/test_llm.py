@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelflow.llm import bpe, chats, decontaminate, embeddings, licenses, near, quality, secrets, substrings, urls
@@ -443,3 +444,36 @@ def test_chats_ambiguous(spark):
     assert sorted(r.conv_id for r in chats.maximal(frame).collect()) == want == [1, 2, 3, 5, 7]
     conversations = frame.where("conv_id is not null").toPandas()  # noqa: F841 - the SQL reads it
     assert sorted(r[0] for r in duckdb.sql(chats.OP5_SQL).fetchall()) == want
+
+
+def test_near_rounds(spark, monkeypatch):
+    """Buckets that hold many unlike members: all rounds of leaders run, or pairs are compared at once, with the same result as brute force."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(2):
+        base = [f"f{f}w{x}" for x in range(60)]
+        for k in range(30):
+            ws, at = list(base), int(rng.integers(0, 60))
+            for i in range(int(rng.integers(3, 12))):
+                ws[(at + i) % 60] = f"v{f}_{k % 12}_{i}"
+            rows.append((100 * f + k, " ".join(ws)))
+    sets = {d: (lambda ws: {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)})(t.split()) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(sorted(sets), pairs)
+    assert 2 < len(set(root.values())) < len(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for easy in (near.EASY, -1):
+        monkeypatch.setattr(near, "EASY", easy)
+        assert {r.doc_id: r.component_id for r in near.link(frame, 4).collect()} == root
+
+
+def test_word_hashes_long_text(monkeypatch):
+    """Texts far longer than what is hashed at once, one of them a single word, hash as they do in one piece."""
+    from parcelflow.llm import common
+
+    rng = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 500, 3000)), None, "x" * 20_000, "", "a b " + "y" * 5000 + " c"])
+    whole = common.word_hashes(texts, substrings.SPACE, substrings.SAME)
+    monkeypatch.setattr(common, "HASH_BYTES", 1000)
+    parts = common.word_hashes(texts, substrings.SPACE, substrings.SAME)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == 3005
