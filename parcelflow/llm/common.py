@@ -115,13 +115,20 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield held
 
 
-def attach(rows: DataFrame, values: DataFrame, key: str | list[str], total: int) -> DataFrame:
+def attach(rows: DataFrame, values: DataFrame, key: str | list[str], total: int, written: bool = False) -> DataFrame:
     """Rows joined with values, which has one row a key and in column n how many of the total rows have it.
 
-    Values of hot keys, fewer than HOT, are broadcast, so their rows aren't gathered into one task."""
+    Values of hot keys, fewer than HOT, are broadcast, so their rows aren't gathered into one task. If values is a
+    written table with one key that is never null, its hot keys are read first and only rows that have them meet the broadcast."""
     hot = F.col("n") * HOT > F.lit(total)
     keys = [key] if isinstance(key, str) else key
     often, seldom = values.where(hot).drop("n"), values.where(~hot).drop("n")
+    if written:
+        found = [r[0] for r in often.select(*keys).collect()]  # fewer than HOT
+        if not found:
+            return rows.join(seldom, keys)
+        among = F.col(keys[0]).isin(found)
+        return rows.where(among).join(F.broadcast(often), keys).unionByName(rows.where(~among).join(seldom, keys))
     near = rows.join(F.broadcast(often), keys)
     far = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
     return near.unionByName(far)

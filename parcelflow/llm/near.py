@@ -5,7 +5,8 @@ signature retrieve candidates; a pair's signatures are compared in batches, and
 chance that its similarity reaches the threshold is below MISS; survivors are verified on full sets.
 
 Candidates come in rounds. The members of a bucket meet one leader of it, which joins most of a large group; in buckets that
-then still hold parts not known to be connected, another leader, until few pairs are left (LED rounds at most). Then members of
+then still hold parts not known to be connected, another leader, until few pairs are left or a round spares less than half of
+them (LED rounds at most). Then members of
 different parts meet each other, in blocks. So a group of thousands of copies costs links in proportion to its size.
 
 Null, empty and blank texts have an empty set and link with nothing. A row without a doc_id links with nothing either: its
@@ -28,8 +29,10 @@ from .common import HASH_BYTES, attach, components, durable, mapped, release, ru
 BANDS, ROWS, BATCH, MISS, SEED, LED, BLOCK = 32, 4, 16, 1e-6, 11, 4, 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FOLD, SPACE = np.frombuffer(_FOLD, np.uint8), np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-# Sum of pairs in mixed buckets, for each class, up to which all of them are compared at once.
-EASY = 20
+# Sum of pairs in mixed buckets, for each class, up to which all of them are compared at once: about what a round costs.
+EASY = 100
+# The share of the pairs before a round that, left after it, makes it the last.
+STALE = 0.5
 
 
 def words(text: str | None) -> list[bytes]:
@@ -217,9 +220,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(band(k).alias("band"), k.alias("at")))
     buckets = classes.select("cid", F.explode(bands).alias("x")).select("x.*", "cid")
     many = classes.count()
-    leads = buckets.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = durable(attach(buckets, leads, "band", many * BANDS))
-    size, edges = members.count(), []
+    leads = durable(buckets.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n"), F.count("*").alias("rows")).where("n > 1"))
+    members = durable(attach(buckets, leads, "band", many * BANDS, written=True))
+    release(leads)
+    pairs_left = F.sum((F.col("rows") - 1) / 2)
+    (size, last), edges = members.agg(F.count("*"), pairs_left).first(), []
     for k in range(LED):
         if not size:
             break
@@ -236,12 +241,14 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         left = left.join(root, "cid", "left").withColumn("root", F.least("cid", "root"))
         mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max(F.struct("root", "cid")).alias("high"), F.count("*").alias("n")).where("low <> high.root")
         mixed = durable(mixed.select("band", F.col("high.cid").alias("lead"), "n", F.col("n").alias("rows")))
-        met = durable(attach(left.drop("lead"), mixed, "band", size))
+        met = durable(attach(left.drop("lead"), mixed, "band", size, written=True))
         release(members, mixed)
         members = met
-        size, work = met.agg(F.count("*"), F.sum((F.col("rows") - 1) / 2)).first()
-        if work is None or work <= EASY * many:
+        size, work = met.agg(F.count("*"), pairs_left).first()
+        # Members that are unlike each other stay apart whoever leads them: a round that spares less than half is the last.
+        if work is None or work <= EASY * many or work > STALE * last:
             break
+        last = work
     if size:
         plausible = durable(_within(members.withColumnRenamed("rows", "n").join(classes.select("cid", "sig"), "cid"), least))
         edges.append(_verified(plausible, classes, docs, n, percent))

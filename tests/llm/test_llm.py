@@ -462,8 +462,9 @@ def test_near_rounds(spark, monkeypatch):
     root = roots(sorted(sets), pairs)
     assert 2 < len(set(root.values())) < len(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for easy in (near.EASY, -1):
+    for easy, stale in ((near.EASY, near.STALE), (-1, 2)):
         monkeypatch.setattr(near, "EASY", easy)
+        monkeypatch.setattr(near, "STALE", stale)
         assert {r.doc_id: r.component_id for r in near.link(frame, 4).collect()} == root
 
 
