@@ -7,7 +7,9 @@ chance that its similarity reaches the threshold is below MISS; survivors are ve
 Candidates come in rounds. The members of a bucket meet one leader of it, which joins most of a large group; in buckets that
 then still hold parts not known to be connected, another leader, until few pairs are left or a round spares less than half of
 them (LED rounds at most). Then members of
-different parts meet each other, in blocks. So a group of thousands of copies costs links in proportion to its size.
+different parts meet each other: in buckets of up to SMALL members their plausible pairs go on; in larger ones, cut into blocks, plausible
+pairs meet on full sets of 64-bit shingle hashes in the block, and of those that link two parts anew one goes on. So a group of
+thousands of copies gives links in proportion to its size, and every link is confirmed on full sets of shingles.
 
 Null, empty and blank texts have an empty set and link with nothing. A row without a doc_id links with nothing either: its
 component is null, and it is kept. Rows that repeat a doc_id are one document of that id, linked by each of its
@@ -17,6 +19,7 @@ task; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import HASH_BYTES, attach, components, durable, mapped, release, runs, sieve, slabs, table, word_hashes
 
 BANDS, ROWS, BATCH, MISS, SEED, LED, BLOCK = 32, 4, 16, 1e-6, 11, 4, 4096
+# Members of a bucket up to which it gives all plausible pairs; shingle hashes of a block of a larger one.
+SMALL, BLOCK_HASHES = 256, 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FOLD, SPACE = np.frombuffer(_FOLD, np.uint8), np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 # Sum of pairs in mixed buckets, for each class, up to which all of them are compared at once: about what a round costs.
@@ -134,14 +139,20 @@ def _by_signature(pairs: DataFrame, classes: DataFrame, least: list[int]) -> Dat
     return mapped(both.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))), keep, "a long, b long, block long")
 
 
-def _verified(placed: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, block) whose full shingle sets reach the threshold. Only the texts of pairs are moved: each to the blocks
-    of its pairs; there the text of b comes first and is cut once."""
-    ids = placed.select(F.col("a").alias("cid")).union(placed.select("b")).distinct()
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, text of the classes in ids. No other texts are moved but for a few that the sieve lets through."""
     wanted = durable(classes.select("cid", "doc_id", "mark").join(ids, "cid"))
     maybe, _ = sieve(docs, wanted, ["doc_id", "mark"])
     # Rows that repeat a document give one text.
-    texts = durable(maybe.join(wanted, ["doc_id", "mark"]).groupBy("cid").agg(F.first("text").alias("text")))
+    out = durable(maybe.join(wanted, ["doc_id", "mark"]).groupBy("cid").agg(F.first("text").alias("text")))
+    release(wanted)
+    return out
+
+
+def _verified(placed: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b, block) whose full shingle sets reach the threshold. Only the texts of pairs are moved: each to the blocks
+    of its pairs; there the text of b comes first and is cut once."""
+    texts = _texts(placed.select(F.col("a").alias("cid")).union(placed.select("b")).distinct(), classes, docs)
     members = placed.join(texts.withColumnRenamed("cid", "a"), "a").select("b", "block", "a", "text")
     heads = placed.select("b", "block").distinct().join(texts.withColumnRenamed("cid", "b"), "b").select("b", "block", F.lit(None).cast("long").alias("a"), "text")
 
@@ -163,31 +174,26 @@ def _verified(placed: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
 
     rows = members.unionByName(heads).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     out = durable(mapped(rows, exact, "a long, b long"))
-    release(wanted, texts)
+    release(texts)
     return out
 
 
 def _within(buckets: DataFrame, least: list[int]) -> DataFrame:
-    """Plausible pairs (a, b) of different components within buckets (band, cid, root, sig, and n, the bucket's rows).
+    """Plausible pairs (a, b) of different components within small buckets (band, cid, root, sig, at); block is 0.
 
-    A bucket is cut into blocks of about BLOCK rows, compared two by two; a pair counts in its first common band only."""
-    x = buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root", "sig", "at", "blocks")
-    x = x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    A pair counts in its first common band only."""
 
     def pairs(batches):
-        for b in runs(batches, ["band", "i", "j"]):
-            band, i, j, own, cid, root, at = (b[c].to_numpy() for c in ("band", "i", "j", "own", "cid", "root", "at"))
-            sig = _matrix(b["sig"].combine_chunks() if isinstance(b["sig"], pa.ChunkedArray) else b["sig"])
+        for b in runs(batches, ["band"]):
+            band, cid, root, at = (b[c].to_numpy() for c in ("band", "cid", "root", "at"))
+            sig = _matrix(b["sig"])
             bands = np.ascontiguousarray(sig).view(np.uint64)
-            new = np.concatenate([[True], (np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
-            run = np.cumsum(new)
+            run = np.cumsum(np.concatenate([[True], np.diff(band) != 0]))
             k, step = np.arange(len(run) - 1), 1
             while len(k):
                 k = k[k + step < len(run)]
                 k = k[run[k + step] == run[k]]
-                p = k[(root[k] != root[k + step]) & ((i[k] == j[k]) | (own[k] != own[k + step]))]
+                p = k[root[k] != root[k + step]]
                 for cut in range(0, len(p), 50_000):
                     p_, q = p[cut : cut + 50_000], p[cut : cut + 50_000] + step
                     # argmax: the first band in which both agree.
@@ -196,11 +202,66 @@ def _within(buckets: DataFrame, least: list[int]) -> DataFrame:
                     good = _plausible(sig[p_], sig[q], least)
                     if good.any():
                         a, c = cid[p_[good]], cid[q[good]]
-                        a, c = np.maximum(a, c), np.minimum(a, c)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(a % b["blocks"].to_numpy()[p_[good]])], ["a", "b", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c)), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "block"])
                 step += 1
 
-    return mapped(x, pairs, "a long, b long, block long")
+    return mapped(buckets.select("band", "cid", "root", "sig", "at").repartition("band").sortWithinPartitions("band"), pairs, "a long, b long, block long")
+
+
+def _forest(buckets: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, least: list[int]) -> DataFrame:
+    """Pairs (a, b) that connect the components within large buckets (band, cid, root, at, n); block is 0.
+
+    A bucket is cut into blocks of about BLOCK rows and BLOCK_HASHES shingle hashes, compared two by two, where a pair counts in
+    its first common band only. Plausible pairs are compared on full sets of hashes, and a block gives only links that
+    connect parts it hasn't connected, so fewer than it has rows."""
+
+    def hashed(batches):
+        for b in slabs(batches, size=HASH_BYTES):
+            yield pa.RecordBatch.from_arrays([b["cid"], pa.array([h.tobytes() for h in _shingle_hashes(b["text"], n)], pa.binary())], ["cid", "hashes"])
+
+    texts = _texts(buckets.select("cid").distinct(), classes, docs)
+    sets = durable(mapped(texts, hashed, "cid long, hashes binary"))
+    release(texts)
+    sized = buckets.drop("n").join(classes.select("cid", "sig", "n_shingles"), "cid")
+    weights = durable(sized.groupBy("band").agg(F.sum("n_shingles").alias("hashes"), F.count("*").alias("n")))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("hashes") / BLOCK_HASHES)).alias("blocks")
+    x = attach(sized, weights.select("band", blocks, "n"), "band", sized.count(), written=True).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    x = x.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "root", "sig", "at", "hashes")
+
+    def links(batches):
+        for b in runs(batches, ["band", "i", "j"]):
+            own, cid, label, at = (b[c].to_numpy() for c in ("own", "cid", "root", "at"))
+            within, label, sig = b["i"][0] == b["j"][0], label.copy(), _matrix(b["sig"])
+            bands = np.ascontiguousarray(sig).view(np.uint64)
+            held = b["hashes"].to_pylist()
+            size = np.array([len(h) // 8 for h in held])
+            end = np.cumsum(size)
+            # Hashes by rank, so a set can be marked in an array.
+            rank = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)[1]
+            mark = np.zeros(len(rank), bool)
+            own_set = [rank[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
+            a, c = [], []
+            for p in range(1, len(cid)):
+                q = np.flatnonzero((label[:p] != label[p]) & (within | (own[:p] != own[p])))
+                # argmax: the first band in which both agree.
+                q = q[(bands[q] == bands[p]).argmax(1) == at[p]]
+                q = q[_plausible(sig[q], np.broadcast_to(sig[p], (len(q), sig.shape[1])), least)]
+                if not len(q):
+                    continue
+                mark[own_set[p]] = True
+                both = np.add.reduceat(mark[np.concatenate([own_set[k] for k in q])], np.cumsum(size[q]) - size[q], dtype=np.int64)
+                mark[own_set[p]] = False
+                q = q[100 * both >= percent * (size[q] + size[p] - both)]
+                parts, one = np.unique(label[q], return_index=True)
+                a.extend(np.maximum(cid[q[one]], cid[p]))
+                c.extend(np.minimum(cid[q[one]], cid[p]))
+                label[np.isin(label, parts)] = label[p]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "block"])
+
+    out = durable(mapped(x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), links, "a long, b long, block long").distinct())
+    release(sets, weights)
+    return out
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -210,8 +271,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     signed = durable(_signed(docs, n))
     found = signed.where("whole is not null and doc_id is not null")
     one = F.min(F.struct("doc_id", "mark")).alias("one")
-    classes = found.groupBy("whole").agg(one, F.first("sig").alias("sig"), F.count("*").alias("n"))
-    classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "one.*", "sig", "n"))
+    classes = found.groupBy("whole").agg(one, F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "one.*", "sig", "n_shingles", "n"))
     total = found.count()
     copies = attach(found.select("whole", F.col("doc_id").alias("a")), classes.where("n > 1").select("whole", F.col("doc_id").alias("b"), "n"), "whole", total).select("a", "b")
 
@@ -219,9 +280,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     band = lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width)))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(band(k).alias("band"), k.alias("at")))
     buckets = classes.select("cid", F.explode(bands).alias("x")).select("x.*", "cid")
-    many = classes.count()
+    count = classes.count()
     leads = durable(buckets.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n"), F.count("*").alias("rows")).where("n > 1"))
-    members = durable(attach(buckets, leads, "band", many * BANDS, written=True))
+    members = durable(attach(buckets, leads, "band", count * BANDS, written=True))
     release(leads)
     pairs_left = F.sum((F.col("rows") - 1) / 2)
     (size, last), edges = members.agg(F.count("*"), pairs_left).first(), []
@@ -246,13 +307,16 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         members = met
         size, work = met.agg(F.count("*"), pairs_left).first()
         # Members that are unlike each other stay apart whoever leads them: a round that spares less than half is the last.
-        if work is None or work <= EASY * many or work > STALE * last:
+        if work is None or work <= EASY * count or work > STALE * last:
             break
         last = work
     if size:
-        plausible = durable(_within(members.withColumnRenamed("rows", "n").join(classes.select("cid", "sig"), "cid"), least))
-        edges.append(_verified(plausible, classes, docs, n, percent))
-        release(plausible)
+        few, many = members.where(F.col("rows") <= SMALL), members.where(F.col("rows") > SMALL).withColumnRenamed("rows", "n")
+        plausible = [durable(_within(few.join(classes.select("cid", "sig"), "cid"), least))]
+        if not many.isEmpty():
+            plausible.append(_forest(many, classes, docs, n, percent, least))
+        edges.append(_verified(functools.reduce(DataFrame.union, plausible), classes, docs, n, percent))
+        release(*plausible)
     release(members)
     every = copies.where("a <> b")
     ids = classes.select("cid", "doc_id")

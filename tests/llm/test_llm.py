@@ -478,3 +478,30 @@ def test_word_hashes_long_text(monkeypatch):
     monkeypatch.setattr(common, "HASH_BYTES", 1000)
     parts = common.word_hashes(texts, substrings.SPACE, substrings.SAME)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == 3005
+
+
+def test_near_large_buckets(spark, monkeypatch):
+    """Buckets above SMALL, cut into many blocks, give fewer links than rows and the same result as brute force."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{x}" for x in range(60)], []
+    for k in range(80):
+        ws, at = list(base), int(rng.integers(0, 60))
+        for i in range(int(rng.integers(2, 12))):
+            ws[(at + i) % 60] = f"v{k % 30}_{i}"
+        rows.append((k, " ".join(ws)))
+    sets = {d: (lambda ws: {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)})(t.split()) for d, t in rows}
+    root = roots(sorted(sets), [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert 2 < len(set(root.values())) < len(rows)
+    frame, forest, given = spark.createDataFrame(rows, "doc_id long, text string"), near._forest, []
+
+    def counted(buckets, *rest):
+        out = forest(buckets, *rest)
+        given.append((out.count(), buckets.count()))
+        return out
+
+    monkeypatch.setattr(near, "_forest", counted)
+    for small, block, hashes in ((2, 4096, 1 << 20), (2, 16, 1 << 20), (8, 4096, 500)):
+        for name, value in (("SMALL", small), ("BLOCK", block), ("BLOCK_HASHES", hashes)):
+            monkeypatch.setattr(near, name, value)
+        assert {r.doc_id: r.component_id for r in near.link(frame, 4).collect()} == root
+    assert len(given) == 3 and given[0][0] < given[0][1] / 4
