@@ -93,7 +93,7 @@ def extended(c0: Column, r0: Column, c1: Column, r1: Column, width: Column) -> t
     """Both ends pushed outwards by eight strokes, on whole pixels; null below a pixel of length."""
     dx, dy = (c1 - c0).cast("double"), (r1 - r0).cast("double")
     n = F.sqrt(dx * dx + dy * dy)
-    by = F.when(n >= 1, F.rint(8 * width))
+    n, by = F.when(n >= 1, n), F.rint(8 * width)
     ux, uy = dx / n, dy / n
     return F.rint(c0 - ux * by), F.rint(r0 - uy * by), F.rint(c1 + ux * by), F.rint(r1 + uy * by)
 

@@ -140,3 +140,12 @@ def test_geometry(spark):
     frame = spark.createDataFrame([(1, ring), (2, ring[:2]), (3, []), (4, [*ring, ring[0]])], "k int, ring array<struct<x:double,y:double>>")
     got = {r.k: (r.a, r.s, r.n) for r in frame.select("k", geo.area(F.col("ring")).alias("a"), geo.signed_area(F.col("ring")).alias("s"), F.size(geo.closed(F.col("ring"))).alias("n")).collect()}
     assert got[1] == (6, 6, 4) and got[2][0] == 0 and got[3][0] == 0 and got[4][:2] == (6, 6)
+
+
+def test_extended(spark):
+    """Ends that coincide give null, as do ends that are null; a pixel of length is enough."""
+    given = [(5, 7, 5, 7), (10, 10, 11, 10), (0, 0, 30, 40), (4, 9, 4, 2), (None, 0, 3, 4)]
+    frame = spark.createDataFrame([(k, *v) for k, v in enumerate(given)], "k int, c0 long, r0 long, c1 long, r1 long")
+    ends = geo.extended(*(F.col(c) for c in ("c0", "r0", "c1", "r1")), F.lit(4.0))
+    got = [tuple(r)[1:] for r in frame.select("k", *ends).orderBy("k").collect()]
+    assert got == [(None,) * 4, (-22, 10, 43, 10), (-19, -26, 49, 66), (4, 41, 4, -30), (None,) * 4]
