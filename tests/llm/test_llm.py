@@ -429,6 +429,44 @@ def test_bpe_every_code_point():
     assert "".join(codec.split("x\U00018DA7\U00033000y \U0001E6E7")) == "x\U00018DA7\U00033000y \U0001E6E7"
 
 
+def test_bpe_any_ranks(tmp_path, monkeypatch):
+    """Ranks in no order of length, so merges make pairs that go first: as tiktoken merges them, whatever way a word is replayed."""
+    import tiktoken
+
+    again, stepwise = [], bpe.stepwise
+    monkeypatch.setattr(bpe, "stepwise", lambda pieces, *a: again.extend(pieces) or stepwise(pieces, *a))
+    n = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        tokens = {"".join(rng.choice(list("abc"), rng.integers(2, 7))).encode() for _ in range(150)}
+        ranks = {t: k for k, t in enumerate([*(bytes([b]) for b in range(256)), *rng.permutation(sorted(tokens)).tolist()])}
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+        own = tiktoken.Encoding("own", pat_str=r"\p{L}+|\s+", mergeable_ranks=ranks, special_tokens={})
+        codec = bpe.Codec(str(path), r"\p{L}+|\s+")
+        texts = [*("".join(rng.choice(list("aabc "), k)) for k in range(1, 200)), "a" * 301, "ab" * 150, None]
+        got = codec.encode(texts)
+        assert got == [np.array(own.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
+        n += len(codec.cache)
+    assert 0 < len(again) < n
+
+
+def test_bpe_cheap(docs, monkeypatch):
+    """Ordinary texts cost no search of each character for rare letters, and no replay place by place."""
+    import public_tokenizers as P
+
+    def never(*a):
+        raise AssertionError
+
+    texts = [r.text for r in docs.select("text").where("doc_id is not null").limit(40).collect()] + ["müde, 日本語 ½ год"]
+    assert not all(t is None or t.isascii() for t in texts)
+    codec = bpe.Codec(P.path(bpe.RANK_FILE), P.PATTERN)
+    want = codec.encode(texts)
+    monkeypatch.setattr(bpe, "RARE", type("Rare", (), {"search": never, "sub": never}))
+    monkeypatch.setattr(bpe, "stepwise", never, raising=False)
+    assert bpe.Codec(P.path(bpe.RANK_FILE), P.PATTERN).encode(texts) == want
+
+
 def test_chats_ambiguous(spark):
     """A line break in a role, null turns, roles and texts, a null id: against turn lists in Python, and the SQL likewise."""
     import duckdb
